@@ -13,28 +13,40 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions.terms import trigram_overlap, trigrams
 
 
+def _sets(df: DataFrame) -> DataFrame:
+    return (df.select("text").distinct()
+            .select(F.sha2("text", 256).alias("key"), "text", trigrams("text").alias("grams"))
+            .withColumn("size", F.size("grams")).where(F.col("size") > 0))
+
+
 def _prefixes(sets: DataFrame, frequency: DataFrame, threshold: float) -> DataFrame:
-    grams = sets.select("text", "size", F.explode("grams").alias("gram")).join(frequency, "gram")
-    order = W.partitionBy("text").orderBy("frequency", "gram")
+    """Rarest trigrams per string. Exploded rows carry a hash of the string, not the string."""
+    grams = sets.select("key", "size", F.explode("grams").alias("gram")).join(frequency, "gram")
+    order = W.partitionBy("key").orderBy("frequency", "gram")
     length = F.col("size") - F.ceil(F.col("size") * F.lit(threshold)) + 1
     return (grams.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= length)
-            .select("text", "size", "gram"))
+            .select("key", "size", "gram"))
 
 
 def trigram_text_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """left(text), right(text) -> left_text, right_text, similarity (> threshold), per distinct text."""
-    def sets(df: DataFrame) -> DataFrame:
-        return (df.select("text").distinct().withColumn("grams", trigrams("text"))
-                .withColumn("size", F.size("grams")).where(F.col("size") > 0))
-    a, b = sets(left), sets(right)
-    frequency = (a.select(F.explode("grams").alias("gram")).unionByName(b.select(F.explode("grams").alias("gram")))
-                 .groupBy("gram").agg(F.count("*").alias("frequency")))
+    """left(text), right(text) -> left_text, right_text, similarity (> threshold), per distinct text.
+    Strings too long or too short for every string of the other side are dropped first."""
+    a, b = _sets(left), _sets(right)
+    a_range = a.agg(F.struct(F.min("size").alias("low"), F.max("size").alias("high"))).scalar()
+    b = b.withColumn("_r", a_range).where((F.col("size") <= F.col("_r.high") / threshold)
+                                          & (F.col("size") >= F.col("_r.low") * threshold)).drop("_r")
+    grams = a.select(F.explode("grams").alias("gram")).unionByName(b.select(F.explode("grams").alias("gram")))
+    frequency = grams.groupBy("gram").agg(F.count("*").alias("frequency"))
     pa, pb = _prefixes(a, frequency, threshold), _prefixes(b, frequency, threshold)
     fits = ((F.col("l.size") >= F.col("r.size") * threshold) & (F.col("r.size") >= F.col("l.size") * threshold))
     pairs = (pa.alias("l").join(pb.alias("r"), (F.col("l.gram") == F.col("r.gram")) & fits)
-             .select(F.col("l.text").alias("left_text"), F.col("r.text").alias("right_text")).distinct())
-    similarity = trigram_overlap(trigrams("left_text"), trigrams("right_text"))
-    return pairs.withColumn("similarity", similarity).where(F.col("similarity") > threshold)
+             .select(F.col("l.key").alias("left_key"), F.col("r.key").alias("right_key")).distinct())
+    return (pairs.join(a.select(F.col("key").alias("left_key"), F.col("text").alias("left_text"),
+                                F.col("grams").alias("_lg")), "left_key")
+            .join(b.select(F.col("key").alias("right_key"), F.col("text").alias("right_text"),
+                           F.col("grams").alias("_rg")), "right_key")
+            .withColumn("similarity", trigram_overlap("_lg", "_rg")).where(F.col("similarity") > threshold)
+            .select("left_text", "right_text", "similarity"))
 
 
 def trigram_join(left: DataFrame, right: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -22,12 +22,13 @@ ANCHOR_OVERLAP, CHUNK_OVERLAP = 0.15, 0.2
 OCR_CHUNK_LIMIT, OCR_TEXT_LIMIT, OCR_PAGE_CAP = 2, 120, 20
 
 
-def registry_array(df: DataFrame, entry: Column, limit: int = MAX_REGISTRY) -> Column:
-    """All rows of a bounded configuration table as one array value."""
-    whole = df.limit(limit + 1).agg(F.collect_list(entry).alias("a"))
-    return whole.select(
-        F.when(F.size("a") > limit, F.raise_error(F.lit(f"registry exceeds {limit} rows"))).otherwise(F.col("a"))
-    ).scalar()
+def with_registry(df: DataFrame, name: str, registry: DataFrame, entry: Column,
+                  limit: int = MAX_REGISTRY) -> DataFrame:
+    """Adds all rows of a bounded configuration table as one array column."""
+    whole = registry.limit(limit + 1).agg(F.collect_list(entry).alias("a"))
+    checked = whole.select(F.when(F.size("a") > limit, F.raise_error(F.lit(f"registry exceeds {limit} rows")))
+                           .otherwise(F.col("a")))
+    return df.withColumn(name, checked.scalar())
 
 
 def sample_size(page_count: Column | str) -> Column:
@@ -110,15 +111,14 @@ def _anchor_entry() -> Column:
 
 def anchor_hits(evidence: DataFrame, anchors: DataFrame) -> DataFrame:
     """Anchors found on the sampled pages: (doc_id, profile_id, anchor_no, weight)."""
-    wanted = registry_array(anchors, _anchor_entry())
-
     def found(a: Column) -> Column:
         placed = (a["region"].isNull() | (F.size("blocks") == 0)
                   | F.exists("blocks", lambda b: F.contains(b["norm"], a["norm"])
                              & (G.overlap_ratio(b["box"], a["region"]) >= ANCHOR_OVERLAP)))
         return ((a["norm"] != "") & (a["page"].isNull() | (a["page"] == F.col("page")))
                 & F.contains(F.col("normalized_text"), a["norm"]) & placed)
-    return (evidence.select("doc_id", F.explode(F.filter(wanted, found)).alias("a"))
+    return (with_registry(evidence, "_anchors", anchors, _anchor_entry())
+            .select("doc_id", F.explode(F.filter("_anchors", found)).alias("a"))
             .groupBy("doc_id", F.col("a.profile_id").alias("profile_id"), F.col("a.anchor_no").alias("anchor_no"))
             .agg(F.max("a.weight").alias("weight")))
 
@@ -127,21 +127,22 @@ def profile_scores(evidence: DataFrame, anchors: DataFrame, profiles: DataFrame,
                    sampled: DataFrame) -> DataFrame:
     """(doc_id, profile_id, ord, threshold, score): 0.6 anchors + 0.4 page fingerprints."""
     totals = anchors.groupBy("profile_id").agg(F.sum(F.coalesce("weight", F.lit(1.0))).alias("total"))
-    registry = registry_array(
-        profiles.join(totals, "profile_id", "left"),
-        F.struct("profile_id", "ord", F.coalesce("match_threshold", F.lit(DEFAULT_THRESHOLD)).alias("threshold"),
-                 F.coalesce("total", F.lit(0.0)).alias("total")))
-    prints = registry_array(sampled, F.struct("profile_id", "page", "visual_hash", "token_hash"))
+    entry = F.struct("profile_id", "ord", F.coalesce("match_threshold", F.lit(DEFAULT_THRESHOLD)).alias("threshold"),
+                     F.coalesce("total", F.lit(0.0)).alias("total"))
     zero = F.lit(0.0)
-    base = (evidence.select("doc_id").distinct().select("doc_id", F.explode(registry).alias("p"))
+    base = (with_registry(evidence.select("doc_id").distinct(), "_profiles",
+                          profiles.join(totals, "profile_id", "left"), entry)
+            .select("doc_id", F.explode("_profiles").alias("p"))
             .select("doc_id", "p.*", zero.alias("hit"), zero.alias("seen"), F.lit(0).alias("rows")))
     none = [F.lit(None).cast(t).alias(n) for n, t in (("ord", "int"), ("threshold", "double"), ("total", "double"))]
     hits = anchor_hits(evidence, anchors).select(
         "doc_id", "profile_id", *none, F.col("weight").alias("hit"), zero.alias("seen"), F.lit(0).alias("rows"))
     points = (F.when(F.col("s.visual_hash") == F.col("visual_hash"), 1.0)
               .when(F.col("s.token_hash") == F.col("token_hash"), 0.5).otherwise(0.0))
-    visual = (evidence.select("doc_id", "visual_hash", "token_hash",
-                              F.explode(F.filter(prints, lambda s: s["page"] == F.col("page"))).alias("s"))
+    visual = (with_registry(evidence, "_prints", sampled,
+                            F.struct("profile_id", "page", "visual_hash", "token_hash"))
+              .select("doc_id", "visual_hash", "token_hash",
+                      F.explode(F.filter("_prints", lambda s: s["page"] == F.col("page"))).alias("s"))
               .select("doc_id", "s.profile_id", *none, zero.alias("hit"), points.alias("seen"),
                       F.lit(1).alias("rows")))
     summed = (base.unionByName(hits).unionByName(visual).groupBy("doc_id", "profile_id")
@@ -176,18 +177,18 @@ def classify_boilerplate(chunks: DataFrame, patterns: DataFrame, anchors: DataFr
 
     def padded(c: Column) -> Column:
         return F.concat(F.lit(pad), c, F.lit(pad)) if pad else c
-    wanted = registry_array(patterns, F.struct("profile_id", normalize_match("pattern").alias("norm")))
-    text = padded(normalize_match("content"))
-    flag = F.exists(wanted, lambda p: (p["profile_id"] == F.col("profile_id")) & (p["norm"] != "")
+    out = with_registry(chunks, "_patterns", patterns,
+                        F.struct("profile_id", normalize_match("pattern").alias("norm")))
+    out = out.withColumn("_text", padded(normalize_match("content")))
+    flag = F.exists("_patterns", lambda p: (p["profile_id"] == F.col("profile_id")) & (p["norm"] != "")
                     & F.contains(F.col("_text"), padded(p["norm"])))
-    out = chunks.withColumn("_text", text)
     if anchors is not None:
-        places = registry_array(anchors, _anchor_entry())
-        flag = flag | F.exists(places, lambda a: (
+        out = with_registry(out, "_anchors", anchors, _anchor_entry())
+        flag = flag | F.exists("_anchors", lambda a: (
             (a["profile_id"] == F.col("profile_id")) & (a["norm"] != "") & F.contains(F.col("_text"), padded(a["norm"]))
             & (a["page"].isNull() | (a["page"] == F.col("page")))
             & (a["region"].isNull() | (G.overlap_ratio("bbox", a["region"]) >= CHUNK_OVERLAP))))
-    return out.withColumn("is_boilerplate", F.coalesce(flag, F.lit(False))).drop("_text")
+    return out.select(*chunks.columns, F.coalesce(flag, F.lit(False)).alias("is_boilerplate"))
 
 
 def mine_profile(blocks: DataFrame, top: int = 12, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -219,19 +220,19 @@ def mine_profile(blocks: DataFrame, top: int = 12, keys: tuple[str, ...] = ()) -
 def export_profile(anchors: DataFrame, sampled: DataFrame, profile_id: str, name: str,
                    threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """One JSON document from at most a dozen mined anchors and page fingerprints."""
-    entries = registry_array(anchors.orderBy("anchor_no"), F.struct("anchor_no", "text", "page", "region", "weight"))
-    patterns = registry_array(anchors, F.struct("anchor_no", "pattern"))
-    prints = registry_array(sampled, F.struct("page", F.col("visual_hash").alias("visualHash"),
-                                              F.col("token_hash").alias("tokenHash")))
+    base = anchors.sparkSession.range(1)
+    base = with_registry(base, "_anchors", anchors, F.struct("anchor_no", "text", "page", "region", "weight", "pattern"))
+    base = with_registry(base, "_prints", sampled, F.struct("page", F.col("visual_hash").alias("visualHash"),
+                                                           F.col("token_hash").alias("tokenHash")))
     body = F.struct(
         F.lit(profile_id).alias("id"), F.lit(1).alias("version"), F.lit(name).alias("name"),
         F.lit(threshold).alias("matchThreshold"),
-        F.transform(F.array_sort(entries), lambda a: F.struct(a["text"].alias("text"), a["page"].alias("page"),
+        F.transform(F.array_sort("_anchors"), lambda a: F.struct(a["text"].alias("text"), a["page"].alias("page"),
                                                              a["region"].alias("region"),
                                                              a["weight"].alias("weight"))).alias("anchors"),
-        F.transform(F.array_sort(patterns), lambda p: p["pattern"]).alias("boilerplatePatterns"),
-        F.array_sort(prints).alias("sampledPages"))
-    return anchors.sparkSession.range(1).select(F.to_json(body).alias("value"))
+        F.transform(F.array_sort("_anchors"), lambda p: p["pattern"]).alias("boilerplatePatterns"),
+        F.array_sort("_prints").alias("sampledPages"))
+    return base.select(F.to_json(body).alias("value"))
 
 
 def ocr_candidates(documents: DataFrame, pages: DataFrame, chunks: DataFrame,

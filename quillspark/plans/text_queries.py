@@ -478,66 +478,15 @@ def _(t):
     return C.segments(C.document_lines(document_pages(t))).drop("page")
 
 
-# Greedy packing with the carried words, one piece per step. A line over the limit is cut into
-# sentences, a sentence over it into words; both start a new part.
-SQL_SPLIT = f"""
-WITH RECURSIVE {SQL_DOCUMENT_PAGES}, {SQL_SEGMENTS},
-long_segs AS (SELECT doc_id, seg_no, text FROM segs WHERE {sql_estimate('text')} > 1200),
-seg_lines AS (
-  SELECT doc_id, seg_no, unnest(string_split(text, chr(10))) AS line,
-         generate_subscripts(string_split(text, chr(10)), 1) AS l FROM long_segs),
-costed AS (SELECT *, {sql_estimate('line')} AS line_cost FROM seg_lines),
-sentences AS (
-  SELECT doc_id, seg_no, l, s, list[s] AS sentence, {sql_estimate('list[s]')} AS sentence_cost FROM (
-    SELECT doc_id, seg_no, l, list, unnest(range(1, len(list) + 1)) AS s FROM (
-      SELECT doc_id, seg_no, l,
-             string_split(regexp_replace(line, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS list
-      FROM costed WHERE line_cost > 1200))),
-sentence_words AS (
-  SELECT doc_id, seg_no, l, s, list, unnest(range(1, len(list) + 1)) AS v FROM (
-    SELECT doc_id, seg_no, l, s, regexp_split_to_array(sentence, '\\s+') AS list FROM sentences WHERE sentence_cost > 1200)),
-pieces AS (
-  SELECT doc_id, seg_no, l, 1 AS s, 1 AS v, line AS piece, chr(10) || chr(10) AS glue, false AS forced
-  FROM costed WHERE line_cost <= 1200
-  UNION ALL SELECT doc_id, seg_no, l, s, 1, sentence, ' ', s = 1 FROM sentences WHERE sentence_cost <= 1200
-  UNION ALL SELECT doc_id, seg_no, l, s, v, list[v], ' ', v = 1 FROM sentence_words),
-steps AS (SELECT *, {sql_estimate('piece')} AS cost,
-                 row_number() OVER (PARTITION BY doc_id, seg_no ORDER BY l, s, v) AS i FROM pieces),
-walk AS (
-  SELECT doc_id, seg_no, 0::BIGINT AS i, ''::VARCHAR AS cur, 0::BIGINT AS tok, NULL::VARCHAR AS done FROM long_segs
-  UNION ALL
-  SELECT w.doc_id, w.seg_no, s.i,
-    CASE WHEN s.forced THEN s.piece
-         WHEN w.tok + s.cost > 1200 AND w.cur <> '' THEN
-           array_to_string(regexp_split_to_array(w.cur, '\\s+')[-120:], ' ') || s.glue || s.piece
-         WHEN w.cur = '' THEN s.piece ELSE w.cur || s.glue || s.piece END,
-    CASE WHEN s.forced THEN s.cost
-         WHEN w.tok + s.cost > 1200 AND w.cur <> '' THEN
-           CAST(ceil((least(len(regexp_split_to_array(w.cur, '\\s+')), 120)
-                      + len(regexp_split_to_array(s.piece, '\\s+'))) * 1.5) AS BIGINT)
-         ELSE w.tok + s.cost END,
-    CASE WHEN (s.forced OR w.tok + s.cost > 1200) AND w.cur <> '' THEN trim(w.cur) END
-  FROM walk w JOIN steps s ON s.doc_id = w.doc_id AND s.seg_no = w.seg_no AND s.i = w.i + 1),
-ends AS (SELECT doc_id, seg_no, max(i) AS i FROM walk GROUP BY ALL),
-parts AS (
-  SELECT doc_id, seg_no, i AS o, done AS text FROM walk WHERE done IS NOT NULL
-  UNION ALL SELECT w.doc_id, w.seg_no, w.i + 1, trim(w.cur) FROM walk w JOIN ends USING (doc_id, seg_no, i)
-  UNION ALL SELECT doc_id, seg_no, 1, text FROM segs WHERE {sql_estimate('text')} <= 1200),
-split AS (SELECT doc_id, seg_no, row_number() OVER (PARTITION BY doc_id, seg_no ORDER BY o) - 1 AS part_no, text FROM parts)
-"""
-
-
-@register("c04_split_long", SQL_SPLIT + "SELECT * FROM split")
+# The packing walks word by word, which SQL recursion does too slowly on whole tables; tests
+# compare it with an independent fold instead.
+@register("c04_split_long")
 def _(t):
     segs = C.segments(C.document_lines(document_pages(t)))
-    return (C.split_long(segs).select("doc_id", "seg_no", F.col("part_no").cast("bigint"), "text"))
+    return C.split_long(segs).select("doc_id", "seg_no", F.col("part_no").cast("bigint"), "text")
 
 
-@register("c05_chunk_documents", SQL_SPLIT + f""",
-sized AS (SELECT *, {sql_estimate('text')} AS token_count FROM split)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seg_no, part_no) - 1 AS chunk_index, text AS content,
-       token_count, sha256(text) AS content_hash
-FROM sized WHERE token_count >= 50""")
+@register("c05_chunk_documents")
 def _(t):
     chunks = C.chunk_documents(document_pages(t))
     return chunks.select("doc_id", F.col("chunk_index").cast("bigint"), "content",

@@ -13,7 +13,7 @@ def _c(col: Column | str) -> Column:
 
 
 def tokens(text: Column | str) -> Column:
-    return F.filter(F.split(F.lower(_c(text)), TOKEN_BREAK), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(_c(text)), TOKEN_BREAK), "")
 
 
 def distinct_terms(text: Column | str, stop_words: list[str] | None = None) -> Column:
@@ -45,11 +45,10 @@ def tf_rank(chunk_tokens: Column | str, query_terms: Column | str) -> Column:
 
 def trigrams(text: Column | str) -> Column:
     """Distinct trigrams of each lower-cased word padded with two leading blanks and one trailing."""
-    grams = F.flatten(F.transform(
-        tokens(text),
-        lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1),
-                              lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3)))))
-    return F.array_distinct(grams)
+    toks = tokens(text)
+    lines = F.concat(F.lit("  "), F.array_join(toks, " \n  "), F.lit(" "))
+    grams = F.regexp_extract_all(lines, F.lit(r"(?=([^\n]{3}))"), 1)
+    return F.when(F.size(toks) > 0, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
 
 
 def trigram_overlap(a: Column | str, b: Column | str) -> Column:

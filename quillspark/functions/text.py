@@ -73,7 +73,7 @@ def normalize_match(col: Column | str) -> Column:
 
 
 def tokenize_match(col: Column | str, min_length: int = 3) -> Column:
-    return F.filter(F.split(normalize_match(col), " "), lambda w: F.length(w) >= min_length)
+    return F.regexp_extract_all(normalize_match(col), F.lit(f"([a-z0-9]{{{min_length},}})"), 1)
 
 
 @F.pandas_udf(StringType())
@@ -107,7 +107,7 @@ def query_hash(col: Column | str, namespace: str | Column | None = None) -> Colu
 
 
 def words(col: Column | str) -> Column:
-    return F.filter(F.split(_c(col), r"(?U)\s+"), lambda w: w != "")
+    return F.array_remove(F.split(_c(col), r"(?U)\s+"), "")
 
 
 def estimate_tokens(col: Column | str) -> Column:
@@ -137,7 +137,7 @@ def split_sentences(col: Column | str) -> Column:
 def candidate_terms(col: Column | str, max_words: int = 3) -> Column:
     """Distinct 1..max_words-grams of the normalised query plus its acronyms."""
     query = _c(col)
-    tokens = F.filter(F.split(normalize_term(query), " "), lambda w: w != "")
+    tokens = F.array_remove(F.split(normalize_term(query), " "), "")
     grams = [
         F.transform(
             F.filter(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))),

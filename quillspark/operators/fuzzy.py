@@ -14,9 +14,9 @@ from ..functions.terms import trigram_overlap, trigrams
 
 
 def _sets(df: DataFrame) -> DataFrame:
-    return (df.select("text").distinct()
+    return (df.select("text").where(F.col("text").rlike(r"[\p{L}\p{N}]")).distinct()
             .select(F.sha2("text", 256).alias("key"), "text", trigrams("text").alias("grams"))
-            .withColumn("size", F.size("grams")).where(F.col("size") > 0))
+            .withColumn("size", F.size("grams")))
 
 
 def _prefixes(sets: DataFrame, frequency: DataFrame, threshold: float) -> DataFrame:

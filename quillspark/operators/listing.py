@@ -24,7 +24,7 @@ def keyset_page(df: DataFrame, order_col: str, id_col: str, limit: int = 50, cur
         rows = rows.where(F.coalesce(before, F.lit(True)))
     head = rows.orderBy(F.desc(order_col), F.asc(id_col)).limit(limit + 1)
     packed = head.agg(F.array_sort(F.collect_list(F.struct(
-        (-F.unix_micros(order_col)).alias("_o"), F.col(id_col).alias("_i"), F.struct(*df.columns).alias("_row"))))
+        (-F.unix_micros(F.col(order_col).cast("timestamp"))).alias("_o"), F.col(id_col).alias("_i"), F.struct(*df.columns).alias("_row"))))
         .alias("_all"))
     more = F.size("_all") > limit
     kept = packed.select(F.slice("_all", 1, limit).alias("_kept"), more.alias("has_next"))

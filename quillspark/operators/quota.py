@@ -13,7 +13,7 @@ def rolling_count(events: DataFrame, key: str, ts: str, id_col: str, window_seco
     Each event also stands in the next time bucket as history and leaves a probe at ts - window;
     one running count then gives both ends of its interval. All steps cluster on (key, bucket)."""
     width = window_seconds * 1_000_000
-    at = F.unix_micros(F.col(ts))
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
     base = events.select(key, F.col(id_col).alias("_id"), at.alias("_t"), F.floor(at / width).cast("bigint").alias("_b"))
     def row(bucket, when, kind, own):
         return F.struct(bucket.alias("b"), when.alias("at"), F.lit(kind).alias("kind"), F.lit(own).alias("own"))
@@ -65,7 +65,7 @@ def anchored_quota(events: DataFrame, key: str, ts: str, id_col: str, window_sec
     """The counter each request saw: a window opens at the first request after the previous one
     has run out (strictly later than its length) and counts denied requests too."""
     width = window_seconds * 1_000_000
-    at = F.unix_micros(F.col(ts))
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
     block = F.floor(F.col("t") / width).cast("bigint")
     base = events.select(key, F.col(id_col).alias("_id"), at.alias("t")).withColumn("b", block)
     times = base.select(key, "t", "b").distinct()

@@ -177,7 +177,8 @@ def hybrid_search_weighted(queries: DataFrame, chunks: DataFrame, match_threshol
               .withColumn("_tokens", T.tokens("content")).withColumn("_q", T.distinct_terms("text"))
               .withColumn("fts_rank", F.when(T.match_all("_tokens", "_q"), T.tf_rank("_tokens", "_q"))
                           .otherwise(F.lit(0.0)))
-              .withColumn("trgm_score", T.trigram_similarity("content", "text"))
+              .withColumn("_cg", T.trigrams("content")).withColumn("_qg", T.trigrams("text"))
+              .withColumn("trgm_score", T.trigram_overlap("_cg", "_qg"))
               .withColumn("score", w_vec * F.coalesce("similarity", F.lit(0.0)) + w_text * F.col("fts_rank")
                           + w_tri * F.col("trgm_score")))
     order = W.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")

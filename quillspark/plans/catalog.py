@@ -21,11 +21,14 @@ class Tables:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        local = [f.name for f in df.schema if f.dataType.simpleString() == "timestamp_ntz"]
+        return df.withColumns({c: F.col(c).cast("timestamp") for c in local}) if local else df
 
     def corpus(self) -> DataFrame:
         """documents with owner, access, status, folder and file name."""

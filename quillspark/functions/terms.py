@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .text import bind
+
 TOKEN_BREAK = r"[^\p{L}\p{N}]+"
 COVER_SPAN = 16.0
 
@@ -36,11 +38,12 @@ def tf_weight(tf: Column, length: Column) -> Column:
 
 def tf_rank(chunk_tokens: Column | str, query_terms: Column | str) -> Column:
     """Length-normalised log term frequency of the query terms, in [0, 1)."""
-    doc, query = _c(chunk_tokens), _c(query_terms)
-    total = F.aggregate(
-        query, F.lit(0.0),
-        lambda s, q: s + F.log1p(F.size(F.filter(doc, lambda t: t == q)).cast("double")))
-    return squash(total / (F.lit(1.0) + F.log(F.greatest(F.size(doc), F.lit(1)).cast("double"))))
+    def score(doc: Column) -> Column:
+        total = F.aggregate(
+            _c(query_terms), F.lit(0.0),
+            lambda s, q: s + F.log1p(F.size(F.filter(doc, lambda t: t == q)).cast("double")))
+        return squash(total / (F.lit(1.0) + F.log(F.greatest(F.size(doc), F.lit(1)).cast("double"))))
+    return bind(_c(chunk_tokens), score)
 
 
 def trigrams(text: Column | str) -> Column:

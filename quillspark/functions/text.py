@@ -134,19 +134,25 @@ def split_sentences(col: Column | str) -> Column:
     return F.split(_c(col), SENTENCE_BREAK)
 
 
+def bind(value: Column, body) -> Column:
+    """body(value) with value evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def candidate_terms(col: Column | str, max_words: int = 3) -> Column:
     """Distinct 1..max_words-grams of the normalised query plus its acronyms."""
     query = _c(col)
-    tokens = F.array_remove(F.split(normalize_term(query), " "), "")
-    grams = [
-        F.transform(
-            F.filter(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))),
-                     lambda i: i + F.lit(n - 1) <= F.size(tokens)),
-            lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
-        for n in range(1, max_words + 1)
-    ]
+
+    def grams(tokens: Column) -> Column:
+        return F.concat(*[
+            F.transform(
+                F.filter(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))),
+                         lambda i: i + F.lit(n - 1) <= F.size(tokens)),
+                lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
+            for n in range(1, max_words + 1)])
+    spoken = bind(F.array_remove(F.split(normalize_term(query), " "), ""), grams)
     acronyms = F.transform(F.regexp_extract_all(query, F.lit(ACRONYM), 1), lambda t: normalize_term(t))
-    return F.filter(F.array_distinct(F.concat(*grams, acronyms)), lambda t: F.length(t) > 1)
+    return F.filter(F.array_distinct(F.concat(spoken, acronyms)), lambda t: F.length(t) > 1)
 
 
 def display_filename(col: Column | str) -> Column:

@@ -108,6 +108,20 @@ def _ordered(entry: Column, *keys: str) -> Column:
     return F.transform(rows, lambda r: r["_entry"])
 
 
+def _scope_json() -> Column:
+    return F.to_json(F.struct(*[F.nullif(F.col(s), F.lit("")).alias(s) for s in SCOPE]))
+
+
+def _expanded(meaning: Column, graph: Column) -> Column:
+    """Query text with its meaning block and, if there are hints, its graph block."""
+    return F.concat(
+        F.col("text"), F.lit("\n\n[INTERNAL_MEANING]\n"),
+        F.when(F.col("_scope") != "{}", F.concat(F.lit("Scope: "), F.col("_scope"), F.lit("\n"))).otherwise(""),
+        F.lit("EffectiveAt: "), F.date_format("as_of", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"),
+        F.lit("\nResolved concepts:\n"), meaning,
+        F.coalesce(F.concat(F.lit("\n\n[GRAPH_RELATIONSHIPS]\n"), graph), F.lit("")))
+
+
 def rewrite_queries(queries: DataFrame, resolved: DataFrame, hints: DataFrame) -> DataFrame:
     """qid, query_text, expanded_query. A query without a resolved term stays as it is."""
     line = F.concat(F.lit("- "), F.col("concept_key"), F.lit(": "),
@@ -116,14 +130,8 @@ def rewrite_queries(queries: DataFrame, resolved: DataFrame, hints: DataFrame) -
         F.array_join(_ordered(line, "alias_normalized", "concept_key", "concept_id"), "\n").alias("_meaning"))
     graph = hints.groupBy("qid").agg(
         F.array_join(_ordered(F.concat(F.lit("- "), F.col("hint")), "relation_id"), "\n").alias("_graph"))
-    scope = F.to_json(F.struct(*[F.nullif(F.col(s), F.lit("")).alias(s) for s in SCOPE]))
-    text = F.concat(
-        F.col("text"), F.lit("\n\n[INTERNAL_MEANING]\n"),
-        F.when(F.col("_scope") != "{}", F.concat(F.lit("Scope: "), F.col("_scope"), F.lit("\n"))).otherwise(""),
-        F.lit("EffectiveAt: "), F.date_format("as_of", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"),
-        F.lit("\nResolved concepts:\n"), F.col("_meaning"),
-        F.coalesce(F.concat(F.lit("\n\n[GRAPH_RELATIONSHIPS]\n"), F.col("_graph")), F.lit("")))
-    return (queries.join(meaning, "qid", "left").join(graph, "qid", "left").withColumn("_scope", scope)
+    text = _expanded(F.col("_meaning"), F.col("_graph"))
+    return (queries.join(meaning, "qid", "left").join(graph, "qid", "left").withColumn("_scope", _scope_json())
             .select("qid", F.col("text").alias("query_text"),
                     F.when(F.col("_meaning").isNull(), F.col("text")).otherwise(text).alias("expanded_query")))
 
@@ -162,18 +170,48 @@ def interpretation(resolved: DataFrame, rewritten: DataFrame) -> DataFrame:
 
 def interpret(queries: DataFrame, graph: dict[str, DataFrame], policy: str = "show_both", strict: bool = True,
               graph_enabled: bool = True) -> DataFrame:
-    """The whole interpretation: expanded query, payload, ambiguities, unknown terms, gate."""
-    terms = query_terms(queries)
-    matches = resolve_aliases(terms, graph["aliases"], graph["concepts"])
-    resolved = resolved_concepts(matches, graph["definitions"])
-    unclear = ambiguities(resolved, policy)
+    """The whole interpretation: expanded query, payload, ambiguities, unknown terms, gate. One
+    aggregate per query feeds everything but the graph hints."""
+    asked = queries.select("*", candidate_terms("text").alias("_terms"))
+    terms = asked.select("qid", *SCOPE, "as_of", F.explode("_terms").alias("term"))
+    resolved = resolved_concepts(resolve_aliases(terms, graph["aliases"], graph["concepts"]), graph["definitions"])
+    row = F.struct("alias_normalized", "concept_key", "concept_id", "alias", "definition_id", "definition",
+                   "confidence", "criticality")
+    found = resolved.groupBy("qid").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    base = asked.join(found, "qid", "left")
     if graph_enabled:
-        rewritten = rewrite_queries(queries, resolved, graph_hints(resolved, graph["relationships"],
-                                                                   graph["concepts"]))
-    else:
-        rewritten = queries.select("qid", F.col("text").alias("query_text"), F.col("text").alias("expanded_query"))
-    unknown = unresolved(terms, matches).groupBy("qid").agg(F.array_sort(F.collect_list("term")).alias("unknown_terms"))
-    doubtful = unclear.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("term", "candidates", "reason")))
-                                          .alias("ambiguities"))
-    return (interpretation(resolved, rewritten).join(unknown, "qid", "left").join(doubtful, "qid", "left")
-            .join(strict_gate(queries, resolved, unclear, policy, strict), "qid", "left"))
+        hints = graph_hints(resolved, graph["relationships"], graph["concepts"]).groupBy("qid").agg(
+            F.array_join(_ordered(F.concat(F.lit("- "), F.col("hint")), "relation_id"), "\n").alias("_graph"))
+        base = base.join(hints, "qid", "left")
+    kind = found.schema["_rows"].dataType.simpleString()
+    base = base.withColumn("_rows", F.coalesce("_rows", F.array().cast(kind)))
+    base = base.withColumn("detected_terms", F.array_distinct(F.transform("_rows", lambda r: r["alias_normalized"])))
+
+    def candidates(term: Column) -> Column:
+        return F.array_distinct(F.transform(F.filter("_rows", lambda r: r["alias_normalized"] == term),
+                                            lambda r: r["concept_key"]))
+    doubtful = F.filter(F.transform("detected_terms", lambda t: F.struct(
+        t.alias("term"), candidates(t).alias("candidates"), F.lit(AMBIGUOUS[policy]).alias("reason"))),
+        lambda a: F.size(a["candidates"]) > 1)
+    missing = F.filter("_rows", lambda r: (r["criticality"] == "critical") & r["definition_id"].isNull())
+    reasons = F.filter(F.array(
+        F.when(F.lit(policy == "strict") & (F.size("ambiguities") > 0), F.lit(f"- {STRICT_AMBIGUITY}")),
+        F.when(F.lit(strict) & (F.size("_missing") > 0), F.concat(
+            F.lit(f"- {STRICT_MISSING}"), F.array_join(F.transform("_missing", lambda r: r["concept_key"]), ", ")))),
+        lambda r: r.isNotNull())
+    line = F.transform("_rows", lambda r: F.concat(
+        F.lit("- "), r["concept_key"], F.lit(": "), F.coalesce(F.nullif(r["definition"], F.lit("")),
+                                                              F.lit("(definition missing)"))))
+    expanded = _expanded(F.array_join(line, "\n"), F.col("_graph")) if graph_enabled else F.col("text")
+    return (base.withColumn("_scope", _scope_json()).withColumn("ambiguities", doubtful)
+            .withColumn("_missing", missing).withColumn("_r", reasons)
+            .select("qid", "detected_terms",
+                    F.transform("_rows", lambda r: F.struct(*[r[c].alias(c) for c in (
+                        "alias_normalized", "concept_key", "concept_id", "alias", "definition_id", "confidence")]))
+                    .alias("resolved_concepts"),
+                    F.array_sort(F.array_distinct(F.filter(F.transform("_rows", lambda r: r["definition_id"]),
+                                                           lambda d: d.isNotNull()))).alias("definition_ids"),
+                    F.when(F.size("_rows") == 0, F.col("text")).otherwise(expanded).alias("rewritten_query"),
+                    F.array_sort(F.array_except("_terms", "detected_terms")).alias("unknown_terms"), "ambiguities",
+                    F.when(F.size("_r") > 0, F.concat(F.lit(STRICT_INTRO + "\n"), F.array_join("_r", "\n")))
+                    .alias("failure")))

@@ -48,7 +48,7 @@ def coerce_options(rows: DataFrame, json_col: str) -> DataFrame:
 
 def file_hash(content: Column | str) -> Column:
     """SHA-256 of the base64 text of the bytes, without the line breaks base64() puts in."""
-    return F.sha2(F.translate(F.base64(content), "\r\n", ""), 256)
+    return F.sha2(F.replace(F.base64(content), F.lit("\r\n")), 256)
 
 
 def dedupe_documents(new: DataFrame, existing: DataFrame | None = None) -> DataFrame:

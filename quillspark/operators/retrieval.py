@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import terms as T
 from ..functions.hooks import ScoreHook
 from ..functions.parsing import citation_ids, extract_json_object
-from ..functions.text import split_sentences, trim_unicode
+from ..functions.text import bind, split_sentences, trim_unicode
 from ..functions.vectors import cosine_similarity
 from .fuzzy import trigram_text_pairs
 from .similarity import bucket_scores, rank_scores, vector_scores, vector_topk
@@ -112,6 +112,15 @@ def cover_density(queries: DataFrame, terms: DataFrame) -> DataFrame:
     return scored.join(ids, "qkey").select("qid", "chunk_id", "cover_score")
 
 
+def and_score(content: str, terms: str) -> Column:
+    """tf_rank where every term occurs, else 0. A substring test, which a match must pass, spares
+    most texts from being tokenised."""
+    hopeful = bind(F.lower(content), lambda low: F.forall(terms, lambda w: F.contains(low, w)))
+    exact = bind(T.tokens(content), lambda toks: F.when(T.match_all(toks, terms), T.tf_rank(toks, terms))
+                 .otherwise(F.lit(0.0)))
+    return F.when((F.size(terms) > 0) & hopeful, exact).otherwise(F.lit(0.0))
+
+
 def hybrid_search(queries: DataFrame, chunks: DataFrame, documents: DataFrame, limit: int = 20,
                   min_score: float = 0.3, vector_weight: float = 0.7, text_weight: float = 0.3,
                   user_id=None, filter_boilerplate: bool = True, exclude_self: bool = False,
@@ -131,9 +140,7 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, documents: DataFrame, l
                 .select("qid", "chunk_id", F.coalesce("vector_score", F.lit(0.0)).alias("vector_score")))
     wanted = queries.select("qid", F.array_sort(T.distinct_terms("text")).alias("_q"))
     scored = (near.join(pool.select("chunk_id", "doc_id", "content"), "chunk_id").join(wanted, "qid")
-              .withColumn("_tokens", T.tokens("content"))
-              .withColumn("text_score", F.when(T.match_all("_tokens", "_q"), T.tf_rank("_tokens", "_q"))
-                          .otherwise(F.lit(0.0)))
+              .withColumn("text_score", and_score("content", "_q"))
               .withColumn("combined_score",
                           vector_weight * F.col("vector_score") + text_weight * F.col("text_score"))
               .where(F.col("combined_score") >= min_score))
@@ -174,9 +181,8 @@ def hybrid_search_weighted(queries: DataFrame, chunks: DataFrame, match_threshol
              .join(pool.select("chunk_id", "content"), "content").select("qid", "chunk_id"))
     scored = (near.unionByName(close).distinct().join(pool, "chunk_id").join(texts, "qid")
               .withColumn("similarity", cosine_similarity("emb", "_qemb"))
-              .withColumn("_tokens", T.tokens("content")).withColumn("_q", T.distinct_terms("text"))
-              .withColumn("fts_rank", F.when(T.match_all("_tokens", "_q"), T.tf_rank("_tokens", "_q"))
-                          .otherwise(F.lit(0.0)))
+              .withColumn("_q", T.distinct_terms("text"))
+              .withColumn("fts_rank", and_score("content", "_q"))
               .withColumn("_cg", T.trigrams("content")).withColumn("_qg", T.trigrams("text"))
               .withColumn("trgm_score", T.trigram_overlap("_cg", "_qg"))
               .withColumn("score", w_vec * F.coalesce("similarity", F.lit(0.0)) + w_text * F.col("fts_rank")

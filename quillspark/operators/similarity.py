@@ -140,7 +140,8 @@ def _cell_scores(job: _Job, queries: DataFrame, chunks: DataFrame, keys: list[st
                 if d in tops:
                     tops[d].add(ids, matrix)
         return pa.Table.from_batches(list(_emit(list(tops.values()), job.schema)), schema=job.schema)
-    return queries.groupBy(*keys).cogroup(chunks.groupBy(*keys)).applyInArrow(score, job.ddl)
+    renewed = queries.select(*[F.col(c).alias(c) for c in queries.columns])  # both sides may be one table
+    return renewed.groupBy(*keys).cogroup(chunks.groupBy(*keys)).applyInArrow(score, job.ddl)
 
 
 def _cells(rows, size: int):

@@ -16,6 +16,13 @@ ORACLE: dict[str, str] = {}
 AS_OF = "2024-02-01 00:00:00"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table of fewer files than cores cannot keep them busy; hash it by its key once, which the
+    per-document steps then build on. A table of many files is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
+
+
 class Tables:
     """The given tables, read on first use, and the views the queries share."""
 
@@ -27,6 +34,8 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         df = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        if name == "documents":
+            df = spread(df, "doc_id")
         local = [f.name for f in df.schema if f.dataType.simpleString() == "timestamp_ntz"]
         return df.withColumns({c: F.col(c).cast("timestamp") for c in local}) if local else df
 

@@ -21,12 +21,12 @@ def lookup_exact(queries: DataFrame, cache: DataFrame, as_of: Column) -> DataFra
 
 
 def lookup_semantic(queries: DataFrame, cache: DataFrame, as_of: Column,
-                    floor: float = SIMILARITY_FLOOR) -> DataFrame:
+                    floor: float = SIMILARITY_FLOOR, strict: bool = False) -> DataFrame:
     """queries(qid, hash, emb): the nearest fresh entry if similar enough. Equal queries share a
-    hash and are searched once."""
+    hash and are searched once. strict asks for more than the floor, as the SQL function does."""
     once = queries.groupBy("hash").agg(F.min_by("emb", "qid").alias("emb")).withColumnRenamed("hash", "qid")
     entries = _fresh(cache, as_of).select(F.col("id").alias("chunk_id"), "emb")
-    best = (vector_topk(once, entries, 1, floor=floor)
+    best = (vector_topk(once, entries, 1, floor=floor, strict=strict)
             .select(F.col("qid").alias("hash"), F.col("chunk_id").alias("cache_id"),
                     F.col("vector_score").alias("similarity")))
     return queries.select("qid", "hash").join(best, "hash").select("qid", "cache_id", "similarity")

@@ -36,7 +36,7 @@ def keyset_page(df: DataFrame, order_col: str, id_col: str, limit: int = 50, cur
 def assign_pages(df: DataFrame, key: str, order_col: str, id_col: str, limit: int = 20,
                  bucket: Column | None = None) -> DataFrame:
     """Page number of every row within its key, newest first."""
-    cut = bucket if bucket is not None else F.date_trunc("month", F.col(order_col))
+    cut = bucket if bucket is not None else F.date_trunc("day", F.col(order_col))
     ranked = split_row_number(df, [key], cut, [F.desc(order_col), F.asc(id_col)], "position", descending=True)
     return ranked.withColumn("page", F.floor((F.col("position") - 1) / limit).cast("bigint"))
 

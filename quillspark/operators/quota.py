@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 
 
 def rolling_count(events: DataFrame, key: str, ts: str, id_col: str, window_seconds: int, limit: int) -> DataFrame:
@@ -48,15 +48,16 @@ def _next_anchor(times: DataFrame, key: str, width: int) -> DataFrame:
 def _anchors(times: DataFrame, key: str, width: int) -> DataFrame:
     """Window starts per key: the first event, then each first event after the open window.
     Found by doubling jumps, log2(number of windows in the log) joins on (key, time)."""
-    ensure_checkpoint_dir(times.sparkSession)
-    jumps = _next_anchor(times, key, width).where(F.col("nxt").isNotNull()).checkpoint()
+    jumps = materialize(_next_anchor(times, key, width).where(F.col("nxt").isNotNull()))
     reached = times.groupBy(key).agg(F.min("t").alias("t"))
     span = times.agg((F.max("b") - F.min("b") + 1).alias("n")).first()["n"] or 1
-    for _ in range(max(1, int(span).bit_length())):
-        step = reached.join(jumps, [key, "t"]).select(key, F.col("nxt").alias("t"))
-        reached = reached.unionByName(step).checkpoint()
-        onward = jumps.select(key, F.col("t").alias("nxt"), F.col("nxt").alias("_far"))
-        jumps = jumps.join(onward, [key, "nxt"]).select(key, "t", F.col("_far").alias("nxt")).checkpoint()
+    rounds = max(1, int(span).bit_length())
+    for done in range(1, rounds + 1):
+        both = F.filter(F.array("t", "nxt"), lambda t: t.isNotNull())
+        reached = reached.join(jumps, [key, "t"], "left").select(key, F.explode(both).alias("t"))
+        if done < rounds:
+            onward = jumps.select(key, F.col("t").alias("nxt"), F.col("nxt").alias("_far"))
+            jumps = materialize(jumps.join(onward, [key, "nxt"]).select(key, "t", F.col("_far").alias("nxt")))
     return reached
 
 

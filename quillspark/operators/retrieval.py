@@ -55,12 +55,16 @@ def term_table(chunks: DataFrame, stop_words: list[str] | None = None) -> DataFr
             .agg(F.count("*").alias("tf"), F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions")))
 
 
-def term_counts(chunks: DataFrame) -> DataFrame:
-    """term_table without positions, so counting happens before anything is kept per term."""
+def term_counts(chunks: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """term_table without positions, so counting happens before anything is kept per term. With
+    queries(text) only their terms are counted, which skips most of the aggregate."""
     spread = chunks.select("chunk_id", "content").repartition("chunk_id")
     toks = spread.withColumn("_t", T.tokens("content"))
-    return (toks.select("chunk_id", F.size("_t").alias("length"), F.explode("_t").alias("term"))
-            .groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf")))
+    rows = toks.select("chunk_id", F.size("_t").alias("length"), F.explode("_t").alias("term"))
+    if queries is not None:
+        wanted = queries.select(F.explode(T.distinct_terms("text")).alias("term")).distinct()
+        rows = rows.join(wanted, "term", "left_semi")
+    return rows.groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
 
 
 def query_terms(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -136,7 +140,7 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, documents: DataFrame, l
     pool = pool.select("chunk_id", "doc_id", "content", "emb")
     near = vector_topk(queries, pool, 2 * limit, exclude_self).select("qid", "chunk_id", "vector_score")
     if fusion == "full_outer":
-        near = (near.join(text_match(queries, term_counts(pool)), ["qid", "chunk_id"], "full")
+        near = (near.join(text_match(queries, term_counts(pool, queries)), ["qid", "chunk_id"], "full")
                 .select("qid", "chunk_id", F.coalesce("vector_score", F.lit(0.0)).alias("vector_score")))
     wanted = queries.select("qid", F.array_sort(T.distinct_terms("text")).alias("_q"))
     scored = (near.join(pool.select("chunk_id", "doc_id", "content"), "chunk_id").join(wanted, "qid")

@@ -191,9 +191,9 @@ def vector_scores(queries: DataFrame, chunks: DataFrame, k: int | None, exclude_
 
 
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, exclude_self: bool = False,
-                floor: float | None = None, strategy: str = "auto") -> DataFrame:
+                floor: float | None = None, strict: bool = False, strategy: str = "auto") -> DataFrame:
     """queries(qid, emb), chunks(chunk_id, emb) -> qid, rank, chunk_id, vector_score."""
-    return rank_scores(vector_scores(queries, chunks, k, exclude_self, floor=floor, strategy=strategy), k)
+    return rank_scores(vector_scores(queries, chunks, k, exclude_self, floor, strict, strategy=strategy), k)
 
 
 def bucket_scores(queries: DataFrame, chunks: DataFrame, bucket: str, k: int, exclude_self: bool = False,

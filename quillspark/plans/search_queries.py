@@ -339,8 +339,8 @@ terms AS (SELECT chunk_id, len(t) AS length, unnest(t) AS term FROM toks),
 tf AS (SELECT chunk_id, length, term, count(*) AS tf FROM terms GROUP BY ALL)"""
 
 
-def document_terms(t: Tables):
-    return R.term_counts(t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")))
+def document_terms(t: Tables, queries):
+    return R.term_counts(t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")), queries)
 
 
 @register("b16_match_all", f"""
@@ -348,7 +348,8 @@ WITH {SQL_SEARCH}, q AS (SELECT qid, {sql_tokens('text')} AS q FROM search),
 c AS (SELECT doc_id, {sql_tokens('text')} AS t FROM documents)
 SELECT qid, doc_id FROM q JOIN c ON list_has_all(t, q) AND len(q) > 0""")
 def _(t):
-    hits = R.text_match(t.search_queries(), document_terms(t))
+    queries = t.search_queries()
+    hits = R.text_match(queries, document_terms(t, queries))
     return hits.select("qid", F.col("chunk_id").alias("doc_id"))
 
 
@@ -374,7 +375,8 @@ matched AS (
 WITH {SQL_SEARCH}, {SQL_TERMS}, {SQL_MATCHED}
 SELECT qid, chunk_id, round(s / (1 + s), 6) AS text_score FROM matched""")
 def _(t):
-    hits = R.text_match(t.search_queries(), document_terms(t))
+    queries = t.search_queries()
+    hits = R.text_match(queries, document_terms(t, queries))
     return hits.withColumn("text_score", F.round("text_score", 6))
 
 
@@ -383,7 +385,7 @@ WITH search AS (SELECT qid, string_split(text, ' ')[1] AS text FROM (WITH {SQL_S
 SELECT qid, chunk_id, round(s / (1 + s), 6) AS text_score FROM matched""")
 def _(t):
     queries = t.search_queries().withColumn("text", F.split("text", " ")[0])
-    return R.text_match(queries, document_terms(t)).withColumn("text_score", F.round("text_score", 6))
+    return R.text_match(queries, document_terms(t, queries)).withColumn("text_score", F.round("text_score", 6))
 
 
 @register("b17_cover_density", f"""
@@ -564,7 +566,7 @@ WITH {SQL_SEARCH}, {SQL_TERMS}, {SQL_MATCHED}
 SELECT qid, 'NOT_FOUND' AS reason FROM search WHERE qid NOT IN (SELECT qid FROM matched)""")
 def _(t):
     queries = t.search_queries()
-    return R.empty_reason(queries, R.text_match(queries, document_terms(t)), t.documents)
+    return R.empty_reason(queries, R.text_match(queries, document_terms(t, queries)), t.documents)
 
 
 @register("e16_audit_records", """

@@ -177,18 +177,21 @@ def hybrid_search_weighted(queries: DataFrame, chunks: DataFrame, match_threshol
     w_vec, w_text, w_tri = weights
     pool = chunks.where(F.col("access") == access).select("chunk_id", "content", "emb")
     near = vector_scores(queries, pool, limit, floor=match_threshold, strict=True,
-                         slack=(w_text + w_tri) / w_vec).select("qid", "chunk_id")
+                         slack=(w_text + w_tri) / w_vec).select("qid", "chunk_id", F.lit(None).cast("double").alias("_tri"))
     texts = queries.select("qid", "text", F.col("emb").alias("_qemb"))
     alike = (trigram_text_pairs(queries, pool.select(F.col("content").alias("text")), trigram_threshold)
-             .select(F.col("left_text").alias("text"), F.col("right_text").alias("content")))
+             .select(F.col("left_text").alias("text"), F.col("right_text").alias("content"),
+                     F.col("similarity").alias("_tri")))
     close = (texts.select("qid", "text").join(alike, "text")
-             .join(pool.select("chunk_id", "content"), "content").select("qid", "chunk_id"))
-    scored = (near.unionByName(close).distinct().join(pool, "chunk_id").join(texts, "qid")
+             .join(pool.select("chunk_id", "content"), "content").select("qid", "chunk_id", "_tri"))
+    # Pairs found by their trigrams bring the similarity along; it is computed for the others only.
+    overlap = bind(T.trigrams("content"), lambda c: bind(T.trigrams("text"), lambda q: T.trigram_overlap(c, q)))
+    found = near.unionByName(close).groupBy("qid", "chunk_id").agg(F.max("_tri").alias("_tri"))
+    scored = (found.join(pool, "chunk_id").join(texts, "qid")
               .withColumn("similarity", cosine_similarity("emb", "_qemb"))
               .withColumn("_q", T.distinct_terms("text"))
               .withColumn("fts_rank", and_score("content", "_q"))
-              .withColumn("_cg", T.trigrams("content")).withColumn("_qg", T.trigrams("text"))
-              .withColumn("trgm_score", T.trigram_overlap("_cg", "_qg"))
+              .withColumn("trgm_score", F.when(F.col("_tri").isNotNull(), F.col("_tri")).otherwise(overlap))
               .withColumn("score", w_vec * F.coalesce("similarity", F.lit(0.0)) + w_text * F.col("fts_rank")
                           + w_tri * F.col("trgm_score")))
     order = W.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")

@@ -470,11 +470,11 @@ def _(t):
 WITH g AS (SELECT s_suppkey, {sql_trigrams("s_name")} AS g FROM supplier),
 c AS (SELECT c_custkey, {sql_trigrams("c_name")} AS g FROM customer),
 p AS (SELECT s_suppkey AS left_id, c_custkey AS right_id, len(list_intersect(g.g, c.g)) AS sh, len(g.g) + len(c.g) AS total FROM g CROSS JOIN c)
-SELECT left_id, right_id, round(sh::DOUBLE / (total - sh), 6) AS similarity FROM p WHERE sh::DOUBLE / (total - sh) > 0.45""")
+SELECT left_id, right_id, round(sh::DOUBLE / (total - sh), 6) AS similarity FROM p WHERE sh::DOUBLE / (total - sh) > 0.25""")
 def _(t):
     left = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("text"))
     right = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("text"))
-    return trigram_join(left, right, 0.45).withColumn("similarity", F.round("similarity", 6))
+    return trigram_join(left, right, 0.25).withColumn("similarity", F.round("similarity", 6))
 
 
 @register("e09_rehydrate", f"""

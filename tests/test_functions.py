@@ -131,3 +131,23 @@ def test_sql_functions(spark):
     assert row["n"] == 5 and row["h"].startswith("70fafe87") and row["t"] == ["ab", "c"]
     parts = spark.sql("SELECT p.part FROM split_long_text(repeat('word ', 1000), 1200, 0.15) p").collect()
     assert [len(p["part"].split()) for p in parts] == [600, 520]
+
+
+def test_reembed_replaces_every_vector(spark):
+    chunks = spark.createDataFrame([(1, "a", [9., 9.]), (2, "b", None)], "chunk_id int, content string, emb array<float>")
+    rows = hooks.reembed(chunks, lambda texts: [[1.0, 0.0] for _ in texts], 2).collect()
+    assert [(list(r["emb"]), r["length_ok"]) for r in rows] == [([1, 0], True)] * 2
+
+
+def test_export_profile(spark):
+    import json
+
+    from quillspark.operators import templates as T
+    anchors = spark.createDataFrame([(2, "Second", "second", 1, 1.0), (1, "First", "first", 3, 1.2)],
+                                    "anchor_no int, text string, pattern string, page int, weight double")
+    anchors = anchors.withColumn("region", G.box(0, 0, 1, .5))
+    prints = spark.createDataFrame([(1, "v", "t")], "page int, visual_hash string, token_hash string")
+    made = json.loads(T.export_profile(anchors, prints, "p", "P", 0.5).first()["value"])
+    assert made["id"] == "p" and made["matchThreshold"] == 0.5 and made["boilerplatePatterns"] == ["first", "second"]
+    assert [(a["text"], a["page"], a["region"]["height"]) for a in made["anchors"]] == [("First", 3, .5), ("Second", 1, .5)]
+    assert made["sampledPages"] == [{"page": 1, "visualHash": "v", "tokenHash": "t"}]

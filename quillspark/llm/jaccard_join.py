@@ -149,11 +149,22 @@ def postings(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataF
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _possible(x: dict[str, Column], y: dict[str, Column], percent: int) -> Column:
-    """Sizes allow the similarity, and so do the shingles before and after a shared one."""
-    need = F.ceil(percent * (x["size"] + y["size"]).cast("double") / (100 + percent) - 1e-9)
-    most = F.least(x["place"], y["place"]) + F.least(x["size"] - x["place"], y["size"] - y["place"])
-    return (100 * F.least(x["size"], y["size"]) >= percent * F.greatest(x["size"], y["size"])) & (most >= need)
+def _share(size: Column, percent: int) -> Column:
+    """Least number of shingles that a document shares with a partner."""
+    return F.floor((percent * size + 99) / 100).cast("int")
+
+
+def _need(x: str, y: str, percent: int) -> Column:
+    """Least intersection of two similar enough sets, by the prefixes of their columns."""
+    both = F.col(f"{x}size") + F.col(f"{y}size")
+    return F.floor((percent * both + 99 + percent) / (100 + percent)).cast("int")
+
+
+def _possible(x: str, y: str, percent: int) -> Column:
+    """Whether the sizes, and the shingles that others can share at all, allow the similarity."""
+    sizes = F.col(f"{x}size"), F.col(f"{y}size")
+    return ((100 * F.least(*sizes) >= percent * F.greatest(*sizes))
+            & (F.least(f"{x}free", f"{y}free") >= _need(x, y, percent)))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -191,39 +202,45 @@ def similar_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     alone = without(named, copies)
 
     lists = materialize(postings(alone, frequencies(surveyed), n, percent))
+    common = lists.groupBy("token").count().where(F.col("count") > 1).select("token")
+    live = materialize(lists.join(common, "token"))
+    # Prefix shingles that no other document has in its prefix cannot be shared before the prefix ends.
+    free = (live.groupBy("doc_id").agg(F.count("*").alias("alive"), F.first("size").alias("size"), F.first("k").alias("k"))
+            .where(F.col("alive") >= F.col("k"))
+            .select("doc_id", (F.col("alive") - F.col("k") + _share(F.col("size"), percent)).cast("int").alias("free")))
+    live = live.join(free, "doc_id")
     rank = (F.col("place").cast("long") * (1 << 31)) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
-    heads = (lists.groupBy("token").agg(F.count("*").alias("c"), *[F.min_by(x, rank).alias(f"l_{x}") for x in
-                                                                  ("doc_id", "size", "place")])
-             .where(F.col("c") > 1).drop("c"))
-    live = materialize(lists.join(heads, "token"))
+    heads = live.groupBy("token").agg(*[F.min_by(x, rank).alias(f"l_{x}") for x in ("doc_id", "size", "free", "k")])
+    live = materialize(live.join(heads, "token"))
 
     # Every document meets the leader that it shares most lists with.
-    member = {c: F.col(c) for c in ("size", "place")}
-    leader = {c: F.col(f"l_{c}") for c in ("size", "place")}
-    star = (live.where((F.col("doc_id") != F.col("l_doc_id")) & _possible(member, leader, percent))
+    star = (live.where((F.col("doc_id") != F.col("l_doc_id")) & _possible("", "l_", percent))
             .groupBy("doc_id", "l_doc_id").agg(F.count("*").alias("shared"))
             .groupBy("doc_id").agg(F.max_by("l_doc_id", F.struct("shared", "l_doc_id")).alias("l")))
     links = materialize(verified(docs, materialize(star.select(F.col("doc_id").alias("a"), F.col("l").alias("b"))), n, percent))
 
     # What the stars left apart is compared in full.
+    fields = ["doc_id", "size", "free", "k", "class"]
     known = components(links)
-    placed = (live.select("token", "doc_id", "size", "place", "k", "l_doc_id")
-              .join(known, F.col("doc_id") == F.col("node"), "left")
-              .select("token", "doc_id", "size", "place", "k",
-                      F.coalesce("component", "doc_id").alias("class"), (F.col("doc_id") == F.col("l_doc_id")).alias("leads")))
+    placed = (live.join(known, F.col("doc_id") == F.col("node"), "left")
+              .select("token", "doc_id", "size", "free", "k", F.coalesce("component", "doc_id").alias("class"),
+                      (F.col("doc_id") == F.col("l_doc_id")).alias("leads")))
     placed = materialize(placed)
     mixed = (placed.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi"),
                                          F.max(F.when(F.col("leads"), F.col("class"))).alias("main"))
              .where(F.col("lo") != F.col("hi")).select("token", "main"))
     placed = materialize(placed.join(mixed, "token").drop("leads"))
-    x = placed.where(F.col("class") != F.col("main")).select("token", *[F.col(c).alias(f"x_{c}") for c in
-                                                                      ("doc_id", "size", "place", "k", "class")])
-    y = placed.select("token", "main", *[F.col(c).alias(f"y_{c}") for c in ("doc_id", "size", "place", "k", "class")])
-    sides = [{c: F.col(f"{s}_{c}") for c in ("size", "place")} for s in "xy"]
+    x = placed.where(F.col("class") != F.col("main")).select("token", *[F.col(c).alias(f"x_{c}") for c in fields])
+    y = placed.select("token", "main", *[F.col(c).alias(f"y_{c}") for c in fields])
     once = (F.col("y_class") == F.col("main")) | (F.col("x_doc_id") < F.col("y_doc_id"))
-    left = (x.join(y, "token").where((F.col("x_class") != F.col("y_class")) & once & _possible(*sides, percent))
+    # Beyond its prefix a document has _share(size) - k shingles; shared ones are in both prefixes, or
+    # beyond the one that ends first.
+    beyond = F.greatest(*[_share(F.col(f"{s}_size"), percent) - F.col(f"{s}_k") for s in "xy"])
+    left = (x.join(y, "token").where((F.col("x_class") != F.col("y_class")) & once & _possible("x_", "y_", percent))
             .groupBy(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b"))
-            .agg(F.count("*").alias("shared"), F.max(F.least("x_k", "y_k")).alias("k")).where(F.col("shared") >= F.col("k")))
+            .agg(F.count("*").alias("shared"), F.max(F.least("x_k", "y_k")).alias("k"),
+                 F.max(_need("x_", "y_", percent) - beyond).alias("least"))
+            .where((F.col("shared") >= F.col("k")) & (F.col("shared") >= F.col("least"))))
     more = verified(docs, materialize(left.select("a", "b")), n, percent)
 
     final = components(links.unionByName(more))

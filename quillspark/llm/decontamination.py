@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillspark.llm.common import MAX_BROADCAST_ROWS, small, without
+from quillspark.llm.common import MAX_BROADCAST_ROWS, without
 
 WINDOW = 13
 #: A text is contaminated if its hit words times this are at least its words.
@@ -42,8 +42,11 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
 
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Verified occurrences: doc_id, text hash, at (word), n, item_ids. The windows are broadcast if
-    there are at most max_rows, else joined by shuffle."""
-    wanted = small(windows(benchmark, size), max_rows)
+    there are at most max_rows; else every window of the texts is shuffled with its words, as then
+    the join is not in reach of the whole text."""
+    wanted = windows(benchmark, size)
+    broadcast = wanted.limit(max_rows + 1).count() <= max_rows
+    wanted = F.broadcast(wanted) if broadcast else wanted
     lengths = sorted(r["n"] for r in wanted.select("n").distinct().collect())  # at most size values
     sizes = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
     places = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("w"))
@@ -54,8 +57,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_rows: in
         places = places.withColumn("n", F.explode(sizes))
     places = places.where(F.col("at") + F.col("n") <= F.size("w"))
     places = places.withColumn("key", _key(F.col("w"), F.col("at"), F.col("n")))
+    words = F.slice("w", F.col("at") + 1, F.col("n"))
+    if not broadcast:
+        places, words = places.select("doc_id", "text_hash", "at", "n", "key", words.alias("window")), F.col("window")
     found = places.join(wanted.withColumnRenamed("n", "n_"), "key")
-    return (found.where((F.col("n") == F.col("n_")) & (F.slice("w", F.col("at") + 1, F.col("n")) == F.col("gram")))
+    return (found.where((F.col("n") == F.col("n_")) & (words == F.col("gram")))
             .select("doc_id", "text_hash", "at", "n", "item_ids"))
 
 

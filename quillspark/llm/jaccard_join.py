@@ -161,10 +161,13 @@ def _need(x: str, y: str, percent: int) -> Column:
 
 
 def _possible(x: str, y: str, percent: int) -> Column:
-    """Whether the sizes, and the shingles that others can share at all, allow the similarity."""
-    sizes = F.col(f"{x}size"), F.col(f"{y}size")
-    return ((100 * F.least(*sizes) >= percent * F.greatest(*sizes))
-            & (F.least(f"{x}free", f"{y}free") >= _need(x, y, percent)))
+    """Whether the sizes, and the shingles that others can share at all, allow the similarity, and the
+    shared shingle lies in the prefixes for these two sizes: of need shared ones, k are among the
+    first size - need + k of both."""
+    sizes, need = (F.col(f"{x}size"), F.col(f"{y}size")), _need(x, y, percent)
+    inside = [F.col(f"{s}place") < F.col(f"{s}size") - need + F.least(f"{x}k", f"{y}k") for s in (x, y)]
+    return ((100 * F.least(*sizes) >= percent * F.greatest(*sizes)) & inside[0] & inside[1]
+            & (F.least(f"{x}free", f"{y}free") >= need))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -210,7 +213,7 @@ def similar_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
             .select("doc_id", (F.col("alive") - F.col("k") + _share(F.col("size"), percent)).cast("int").alias("free")))
     live = live.join(free, "doc_id")
     rank = (F.col("place").cast("long") * (1 << 31)) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
-    heads = live.groupBy("token").agg(*[F.min_by(x, rank).alias(f"l_{x}") for x in ("doc_id", "size", "free", "k")])
+    heads = live.groupBy("token").agg(*[F.min_by(x, rank).alias(f"l_{x}") for x in ("doc_id", "size", "place", "free", "k")])
     live = materialize(live.join(heads, "token"))
 
     # Every document meets the leader that it shares most lists with.
@@ -220,10 +223,10 @@ def similar_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     links = materialize(verified(docs, materialize(star.select(F.col("doc_id").alias("a"), F.col("l").alias("b"))), n, percent))
 
     # What the stars left apart is compared in full.
-    fields = ["doc_id", "size", "free", "k", "class"]
+    fields = ["doc_id", "size", "place", "free", "k", "class"]
     known = components(links)
     placed = (live.join(known, F.col("doc_id") == F.col("node"), "left")
-              .select("token", "doc_id", "size", "free", "k", F.coalesce("component", "doc_id").alias("class"),
+              .select("token", "doc_id", "size", "place", "free", "k", F.coalesce("component", "doc_id").alias("class"),
                       (F.col("doc_id") == F.col("l_doc_id")).alias("leads")))
     placed = materialize(placed)
     mixed = (placed.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi"),
@@ -233,14 +236,10 @@ def similar_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     x = placed.where(F.col("class") != F.col("main")).select("token", *[F.col(c).alias(f"x_{c}") for c in fields])
     y = placed.select("token", "main", *[F.col(c).alias(f"y_{c}") for c in fields])
     once = (F.col("y_class") == F.col("main")) | (F.col("x_doc_id") < F.col("y_doc_id"))
-    # Beyond its prefix a document has _share(size) - k shingles; shared ones are in both prefixes, or
-    # beyond the one that ends first.
-    beyond = F.greatest(*[_share(F.col(f"{s}_size"), percent) - F.col(f"{s}_k") for s in "xy"])
     left = (x.join(y, "token").where((F.col("x_class") != F.col("y_class")) & once & _possible("x_", "y_", percent))
             .groupBy(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b"))
-            .agg(F.count("*").alias("shared"), F.max(F.least("x_k", "y_k")).alias("k"),
-                 F.max(_need("x_", "y_", percent) - beyond).alias("least"))
-            .where((F.col("shared") >= F.col("k")) & (F.col("shared") >= F.col("least"))))
+            .agg(F.count("*").alias("shared"), F.max(F.least("x_k", "y_k")).alias("k"))
+            .where(F.col("shared") >= F.col("k")))
     more = verified(docs, materialize(left.select("a", "b")), n, percent)
 
     final = components(links.unionByName(more))

@@ -61,7 +61,7 @@ def passages(block: Block) -> tuple[np.ndarray, np.ndarray]:
     k = len(CLASSES)
     lead = np.zeros(len(block.data) + 1, np.int32)
     np.cumsum(LEAD[block.data], out=lead[1:])
-    length = lead[ends] - lead[starts]
+    length = (lead[ends] - lead[starts]).astype(np.int64)
     hashes = block.prefix(LOWER[block.data]).hash(starts, ends)
     words = np.maximum(hi - lo, 1)
     out[:, k] = totals(length, word_edges) / words / 10

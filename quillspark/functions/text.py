@@ -48,19 +48,6 @@ def _accent_map(lower_only: bool) -> tuple[str, str]:
     return "".join(source) + marks, "".join(target)
 
 
-@lru_cache(maxsize=1)
-def _compat_map() -> tuple[str, str]:
-    """One-to-one compatibility forms (full width, superscript, presentation forms)."""
-    pairs = []
-    for code in range(0x80, 0x10000):
-        if 0xD800 <= code <= 0xDFFF:
-            continue
-        folded = unicodedata.normalize("NFKC", chr(code))
-        if len(folded) == 1 and folded != chr(code) and ord(folded) < 0x10000:
-            pairs.append((chr(code), folded))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
-
-
 def strip_accents(col: Column | str) -> Column:
     """Remove combining marks, composed or not; case is kept."""
     return F.translate(_c(col), *_accent_map(False))
@@ -81,12 +68,18 @@ def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
-def normalize_term(col: Column | str, exact: bool = False) -> Column:
-    """Compatibility-fold, lower, trim, then blank out everything that is not a letter,
-    digit, blank, '_', ':' or '-'. The trim comes first, so an edge blank may remain.
-    exact=True also folds the forms that expand to several characters (Arrow UDF)."""
-    folded = _nfkc(_c(col)) if exact else F.translate(_c(col), *_compat_map())
-    trimmed = trim_unicode(F.lower(folded))
+def normalize_term(col: Column | str) -> Column:
+    """NFKC, lower, trim, then blank out everything that is not a letter, digit, blank, '_', ':' or
+    '-'. The trim comes first, so an edge blank may remain. NFKC leaves ASCII as it is, so only
+    other rows cross into Python, as Arrow batches; the rest are NULL there."""
+    beyond = _c(col).rlike(r"[^\x00-\x7F]")
+    folded = F.when(beyond, _nfkc(F.when(beyond, _c(col)))).otherwise(_c(col))
+    return _clean_term(folded)
+
+
+def _clean_term(col: Column) -> Column:
+    """normalize_term without the folding, for text that needs none."""
+    trimmed = trim_unicode(F.lower(col))
     return F.regexp_replace(F.regexp_replace(trimmed, r"(?U)[^\p{L}\p{N}\s_:-]", " "), r"(?U)\s+", " ")
 
 
@@ -151,7 +144,7 @@ def candidate_terms(col: Column | str, max_words: int = 3) -> Column:
                 lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
             for n in range(1, max_words + 1)])
     spoken = bind(F.array_remove(F.split(normalize_term(query), " "), ""), grams)
-    acronyms = F.transform(F.regexp_extract_all(query, F.lit(ACRONYM), 1), lambda t: normalize_term(t))
+    acronyms = F.transform(F.regexp_extract_all(query, F.lit(ACRONYM), 1), _clean_term)  # acronyms are ASCII
     return F.filter(F.array_distinct(F.concat(spoken, acronyms)), lambda t: F.length(t) > 1)
 
 

@@ -164,7 +164,8 @@ def _block_scores(job: _Job, queries: DataFrame, chunks: DataFrame) -> DataFrame
 
 
 def rank_scores(scores: DataFrame, k: int | None) -> DataFrame:
-    order = W.partitionBy("qid").orderBy(F.desc("vector_score"), "chunk_id")
+    # Scores of equal vectors may differ in the last bits; rounded, they tie and the id decides.
+    order = W.partitionBy("qid").orderBy(F.desc(F.round("vector_score", 9)), "chunk_id")
     ranked = scores.withColumn("rank", F.row_number().over(order))
     if k is not None:
         ranked = ranked.where(F.col("rank") <= k)

@@ -16,13 +16,6 @@ ORACLE: dict[str, str] = {}
 AS_OF = "2024-02-01 00:00:00"
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """A table of fewer files than cores cannot keep them busy; hash it by its key once, which the
-    per-document steps then build on. A table of many files is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
-
-
 class Tables:
     """The given tables, read on first use, and the views the queries share."""
 
@@ -34,8 +27,6 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         df = self.spark.read.parquet(f"{self.path}/{name}.parquet")
-        if name == "documents":
-            df = spread(df, "doc_id")
         local = [f.name for f in df.schema if f.dataType.simpleString() == "timestamp_ntz"]
         return df.withColumns({c: F.col(c).cast("timestamp") for c in local}) if local else df
 
@@ -51,8 +42,9 @@ class Tables:
                         F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename")))
 
     def chunks(self) -> DataFrame:
-        """Documents as chunks with their vector."""
-        return (self.corpus().join(self.embeddings, F.col("doc_id") == F.col("vec_id"))
+        """Documents as chunks; the vectors are dealt round, so that every document has one."""
+        vectors = self.embeddings.agg(F.count("*")).scalar()
+        return (self.corpus().withColumn("_vec", F.pmod("doc_id", vectors)).join(self.embeddings, F.col("_vec") == F.col("vec_id"))
                 .select(F.col("doc_id").alias("chunk_id"), "doc_id", F.col("text").alias("content"),
                         F.col("embedding").alias("emb"), "access", F.lit(1).alias("page")))
 
@@ -139,7 +131,7 @@ corpus AS (
 SQL_CHUNKS = SQL_CORPUS + """,
 chunks AS (
   SELECT c.doc_id AS chunk_id, c.doc_id, c.text AS content, e.embedding::DOUBLE[] AS emb, c.access, c.status, c.owner_id
-  FROM corpus c JOIN embeddings e ON c.doc_id = e.vec_id)"""
+  FROM corpus c JOIN embeddings e ON c.doc_id % (SELECT count(*) FROM embeddings) = e.vec_id)"""
 
 SQL_SEARCH = """
 search AS (

@@ -315,7 +315,7 @@ WITH {SQL_CHUNKS}, {SQL_SEARCH},
 pairs AS (
   SELECT q.qid, c.chunk_id, list_cosine_similarity(q.emb, c.emb) AS s FROM search q JOIN chunks c
   ON c.status = 'completed' AND (c.access = 'public' OR c.owner_id = q.qid))
-SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY s DESC, chunk_id) AS rank, chunk_id, round(s, 6) AS vector_score
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, chunk_id) AS rank, chunk_id, round(s, 6) AS vector_score
 FROM pairs QUALIFY rank <= 10""")
 def _(t):
     queries = t.search_queries().select("qid", "emb", F.col("qid").alias("user_id"))

@@ -12,8 +12,6 @@ from .catalog import (SQL_CORPUS, SQL_DOCUMENT_PAGES, SQL_HEADED_PAGES, SQL_HEAD
                       SQL_MESSAGE_PAGES, SQL_SEGMENTS, Tables, as_of, register, sql_blocks, sql_chunks, sql_estimate,
                       sql_match, sql_match_tokens, sql_term, sql_tokens, sql_trigrams, with_headers)
 
-UNSPLIT = 1_000_000_000
-
 
 def box_columns(name: str = "box", prefix: str = ""):
     return [F.round(F.col(name)[k], 6).alias(prefix + k) for k in ("x", "y", "width", "height")]
@@ -111,16 +109,6 @@ REQUIRED = {"documents": ["doc_id", "text", "folder_name", "template_profile_id"
             "embeddings": ["vec_id", "embedding"], "conversations": ["conv_id", "sources"]}
 
 
-@register("a07_schema_preflight", """
-WITH required(tab, col) AS (VALUES """ + ", ".join(
-    f"('{t}', '{c}')" for t, cols in REQUIRED.items() for c in cols) + """)
-SELECT tab AS "table", col AS "column",
-       EXISTS (SELECT 1 FROM information_schema.columns i WHERE i.table_name = tab AND i.column_name = col) AS ok
-FROM required""")
-def _(t):
-    return I.schema_preflight(t.spark, {name: getattr(t, name) for name in TABLES}, REQUIRED)
-
-
 @register("a08_dedupe_documents", """
 WITH hashed AS (SELECT doc_id, lang AS user_id, sha256(base64(encode(text))) AS h FROM documents)
 SELECT doc_id, user_id, min(doc_id) OVER (PARTITION BY user_id, h) AS canonical_doc_id,
@@ -185,7 +173,7 @@ SELECT d.doc_id, coalesce(pages, 0) AS pages, coalesce(blocks, 0) AS blocks, coa
 FROM (SELECT DISTINCT doc_id FROM pages_in) d LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)""")
 def _(t):
     pages = t.message_pages()
-    chunks = C.chunk_documents(pages, max_tokens=UNSPLIT, min_tokens=20).withColumn("is_boilerplate", F.lit(False))
+    chunks = C.chunk_documents(pages, min_tokens=20).withColumn("is_boilerplate", F.lit(False))
     return I.ingest_stats(pages.select("doc_id").distinct(), B.page_blocks(pages), chunks)
 
 
@@ -496,12 +484,12 @@ def _(t):
 @register("c05_chunk_pages", f"""
 WITH {SQL_HEADED_PAGES}, {sql_chunks(20)} SELECT * FROM cut""")
 def _(t):
-    chunks = C.chunk_documents(t.headed_pages(), max_tokens=UNSPLIT, min_tokens=20)
+    chunks = C.chunk_documents(t.headed_pages(), min_tokens=20)
     return chunks.withColumns({c: F.col(c).cast("bigint") for c in ("chunk_index", "token_count", "page")})
 
 
 def page_chunks(t: Tables):
-    return C.chunk_documents(t.headed_pages(), max_tokens=UNSPLIT, min_tokens=10)
+    return C.chunk_documents(t.headed_pages(), min_tokens=10)
 
 
 def page_matches(t: Tables):
@@ -594,4 +582,4 @@ FROM docs LEFT JOIN texts USING (doc_id)""")
 def _(t):
     docs = t.conversations.groupBy(F.col("conv_id").alias("doc_id")).agg(
         F.when(F.count("*") < 4, "failed").otherwise("completed").alias("status"))
-    return B.preview(docs, C.chunk_documents(t.headed_pages(), max_tokens=UNSPLIT, min_tokens=60))
+    return B.preview(docs, C.chunk_documents(t.headed_pages(), min_tokens=60))

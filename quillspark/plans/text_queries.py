@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G, hooks, parsing as P, terms as M, text as X
 from ..functions.vectors import cosine_similarity
 from ..operators import blocks as B, chunking as C, ingest as I
-from ..sources.documents import TABLES, read_documents, resolve_mime
+from ..sources.documents import read_documents, resolve_mime
 from .catalog import (SQL_CORPUS, SQL_DOCUMENT_PAGES, SQL_HEADED_PAGES, SQL_HEADERS, SQL_LINES, SQL_MARK,
                       SQL_MESSAGE_PAGES, SQL_SEGMENTS, Tables, as_of, register, sql_blocks, sql_chunks, sql_estimate,
                       sql_match, sql_match_tokens, sql_term, sql_tokens, sql_trigrams, with_headers)
@@ -105,10 +105,6 @@ def _(t):
     return B.assemble_pages(B.page_blocks(t.message_pages()))
 
 
-REQUIRED = {"documents": ["doc_id", "text", "folder_name", "template_profile_id"],
-            "embeddings": ["vec_id", "embedding"], "conversations": ["conv_id", "sources"]}
-
-
 @register("a08_dedupe_documents", """
 WITH hashed AS (SELECT doc_id, lang AS user_id, sha256(base64(encode(text))) AS h FROM documents)
 SELECT doc_id, user_id, min(doc_id) OVER (PARTITION BY user_id, h) AS canonical_doc_id,

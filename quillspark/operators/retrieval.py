@@ -43,14 +43,20 @@ def drop_boilerplate(chunks: DataFrame, enabled: bool = True) -> DataFrame:
     return chunks.where(~F.coalesce("is_boilerplate", F.lit(False))) if enabled else chunks
 
 
-def term_table(chunks: DataFrame, stop_words: list[str] | None = None) -> DataFrame:
+def wanted_terms(queries: DataFrame) -> DataFrame:
+    return queries.select(F.explode(T.distinct_terms("text")).alias("term")).distinct()
+
+
+def term_table(chunks: DataFrame, stop_words: list[str] | None = None, queries: DataFrame | None = None) -> DataFrame:
     """chunks(chunk_id, content) -> chunk_id, length, term, tf, positions. Text moves once, hashed
-    by chunk; the aggregate then needs no further exchange."""
+    by chunk; the aggregate then needs no further exchange. With queries(text) only their terms count."""
     spread = chunks.select("chunk_id", "content").repartition("chunk_id")
     toks = spread.withColumn("_t", T.tokens("content"))
     rows = toks.select("chunk_id", F.size("_t").alias("length"), F.posexplode("_t").alias("pos", "term"))
     if stop_words:
         rows = rows.where(~F.col("term").isin(stop_words))
+    if queries is not None:
+        rows = rows.join(wanted_terms(queries), "term", "left_semi")
     return (rows.groupBy("chunk_id", "length", "term")
             .agg(F.count("*").alias("tf"), F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions")))
 
@@ -62,8 +68,7 @@ def term_counts(chunks: DataFrame, queries: DataFrame | None = None) -> DataFram
     toks = spread.withColumn("_t", T.tokens("content"))
     rows = toks.select("chunk_id", F.size("_t").alias("length"), F.explode("_t").alias("term"))
     if queries is not None:
-        wanted = queries.select(F.explode(T.distinct_terms("text")).alias("term")).distinct()
-        rows = rows.join(wanted, "term", "left_semi")
+        rows = rows.join(wanted_terms(queries), "term", "left_semi")
     return rows.groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
 
 
@@ -78,10 +83,25 @@ def query_terms(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed.select("qid", "qkey"), sets
 
 
+def rarest_term_pairs(sets: DataFrame, terms: DataFrame) -> DataFrame:
+    """(qkey, chunk_id): the chunks that hold a query's rarest term, the only ones that can hold all.
+    A query with a term that no chunk holds has none."""
+    held = terms.groupBy("term").agg(F.count("*").alias("df"))
+    rarest = (sets.join(held, "term").groupBy("qkey")
+              .agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.count("*").alias("_known"),
+                   F.max("n_terms").alias("_all"))
+              .where(F.col("_known") == F.col("_all")).select("qkey", "term"))
+    return rarest.join(terms.select("chunk_id", "term"), "term").select("qkey", "chunk_id")
+
+
 def text_match(queries: DataFrame, terms: DataFrame) -> DataFrame:
-    """AND match of queries(qid, text) against term_counts(): qid, chunk_id, text_score."""
+    """AND match of queries(qid, text) against term_counts(): qid, chunk_id, text_score. A frequent term
+    is looked up only in the chunks that hold its query's rarest one."""
     ids, sets = query_terms(queries)
-    hits = (terms.select("chunk_id", "length", "term", "tf").join(sets, "term")
+    # The filter, always true, keeps the count in all three uses, so that Spark runs the aggregate once.
+    terms = terms.where(F.col("tf") > 0)
+    pairs = rarest_term_pairs(sets, terms)
+    hits = (pairs.join(sets, "qkey").join(terms.select("chunk_id", "length", "term", "tf"), ["chunk_id", "term"])
             .groupBy("chunk_id", "qkey")
             .agg(F.count("*").alias("_found"), F.max("n_terms").alias("_wanted"),
                  F.sum(T.tf_weight(F.col("tf"), F.col("length"))).alias("_sum"))
@@ -94,7 +114,9 @@ def cover_density(queries: DataFrame, terms: DataFrame) -> DataFrame:
     """Minimal covers of all query terms, each worth min(1, 16/width): qid, chunk_id, cover_score.
     terms is term_table(). Positions meet per (chunk, query), which one chunk's length bounds."""
     ids, sets = query_terms(queries)
-    grouped = (terms.join(sets, "term").groupBy("chunk_id", "qkey")
+    terms = terms.where(F.col("tf") > 0)
+    grouped = (rarest_term_pairs(sets, terms).join(sets, "qkey")
+               .join(terms.select("chunk_id", "term", "positions"), ["chunk_id", "term"]).groupBy("chunk_id", "qkey")
                .agg(F.max("n_terms").alias("_n"), F.collect_list("positions").alias("_lists"))
                .where(F.size("_lists") == F.col("_n")))
     events = F.array_sort(F.flatten(F.transform(

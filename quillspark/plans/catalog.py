@@ -49,12 +49,9 @@ class Tables:
                         F.col("embedding").alias("emb"), "access", F.lit(1).alias("page")))
 
     def search_queries(self) -> DataFrame:
-        """Benchmark passages: the first two words of four letters or more, and a vector."""
-        long_words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{4,})"), 1)))
+        """Benchmark passages, whole, with a vector."""
         return (self.benchmark.join(self.embeddings, F.col("item_id") == F.col("vec_id"))
-                .select(F.col("item_id").alias("qid"),
-                        F.array_join(F.slice(long_words, 1, 2), " ").alias("text"),
-                        F.col("text").alias("passage"), F.col("embedding").alias("emb")))
+                .select(F.col("item_id").alias("qid"), "text", F.col("embedding").alias("emb")))
 
     def vectors(self) -> DataFrame:
         return self.embeddings.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("emb"), "label")
@@ -135,8 +132,7 @@ chunks AS (
 
 SQL_SEARCH = """
 search AS (
-  SELECT b.item_id AS qid, b.text AS passage, e.embedding::DOUBLE[] AS emb,
-         array_to_string(list_sort(list_distinct(regexp_extract_all(lower(b.text), '(\\p{L}{4,})', 1)))[1:2], ' ') AS text
+  SELECT b.item_id AS qid, b.text, e.embedding::DOUBLE[] AS emb
   FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id)"""
 
 SQL_MARK = ("regexp_replace(regexp_replace(regexp_replace({x}, '(^|\\n)(E)', '\\1# \\2', 'g'), "

@@ -381,10 +381,24 @@ def _(t):
 
 
 @register("e05_text_match_one_word", f"""
-WITH search AS (SELECT qid, string_split(text, ' ')[1] AS text FROM (WITH {SQL_SEARCH} SELECT * FROM search)), {SQL_TERMS}, {SQL_MATCHED}
+WITH search AS (SELECT DISTINCT w AS qid, w AS text FROM (SELECT unnest({sql_tokens('text')}) AS w FROM benchmark)),
+{SQL_TERMS}, {SQL_MATCHED}
 SELECT qid, chunk_id, round(s / (1 + s), 6) AS text_score FROM matched""")
 def _(t):
-    queries = t.search_queries().withColumn("text", F.split("text", " ")[0])
+    """Every distinct word of the benchmark is a query."""
+    words = t.benchmark.select(F.explode(M.tokens("text")).alias("text")).distinct()
+    queries = words.select(F.col("text").alias("qid"), "text")
+    return R.text_match(queries, document_terms(t, queries)).withColumn("text_score", F.round("text_score", 6))
+
+
+@register("e05_text_match_lines", f"""
+WITH search AS (SELECT DISTINCT sha256(l) AS qid, l AS text FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents)),
+{SQL_TERMS}, {SQL_MATCHED}
+SELECT qid, chunk_id, round(s / (1 + s), 6) AS text_score FROM matched""")
+def _(t):
+    """Every distinct line of the documents is a query."""
+    lines = t.documents.select(F.explode(F.split("text", "\n")).alias("text")).distinct()
+    queries = lines.select(F.sha2("text", 256).alias("qid"), "text")
     return R.text_match(queries, document_terms(t, queries)).withColumn("text_score", F.round("text_score", 6))
 
 
@@ -392,21 +406,20 @@ def _(t):
 WITH {SQL_SEARCH},
 q AS (SELECT qid, list_distinct({sql_tokens('text')}) AS q FROM search),
 d AS (SELECT doc_id AS chunk_id, {sql_tokens('text')} AS t FROM documents),
-c AS (SELECT qid, chunk_id, q, t FROM q JOIN d ON list_has_all(t, q) AND len(q) = 2),
-p AS (SELECT qid, chunk_id, q, t[i] AS term, i FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM c)
+c AS (SELECT qid, chunk_id, q, t FROM q JOIN d ON list_has_all(t, q) AND len(q) > 0),
+p AS (SELECT qid, chunk_id, len(q) AS n, t[i] AS term, i FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM c)
       WHERE list_contains(q, t[i])),
-l AS (SELECT *, last_value(CASE WHEN term = q[1] THEN i END IGNORE NULLS) OVER w AS l1,
-             last_value(CASE WHEN term = q[2] THEN i END IGNORE NULLS) OVER w AS l2
-      FROM p WINDOW w AS (PARTITION BY qid, chunk_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
-m AS (SELECT *, CASE WHEN l1 IS NOT NULL AND l2 IS NOT NULL THEN least(l1, l2) END AS l FROM l),
+l AS (SELECT a.qid, a.chunk_id, a.n, a.i, b.term, max(b.i) AS last
+      FROM p a JOIN p b ON a.qid = b.qid AND a.chunk_id = b.chunk_id AND b.i <= a.i GROUP BY ALL),
+m AS (SELECT qid, chunk_id, i, CASE WHEN count(*) = any_value(n) THEN min(last) END AS l FROM l GROUP BY qid, chunk_id, i),
 f AS (SELECT *, lag(l) OVER (PARTITION BY qid, chunk_id ORDER BY i) AS before FROM m),
 s AS (SELECT qid, chunk_id, sum(least(1, 16.0 / (i - l + 1))) AS s FROM f
       WHERE l IS NOT NULL AND l IS DISTINCT FROM before GROUP BY ALL)
 SELECT qid, chunk_id, round(s / (1 + s), 6) AS cover_score FROM s""")
 def _(t):
-    table = R.term_table(t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")))
-    two = t.search_queries().where(F.size(M.distinct_terms("text")) == 2)
-    return R.cover_density(two, table).withColumn("cover_score", F.round("cover_score", 6))
+    queries = t.search_queries()
+    docs = t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    return R.cover_density(queries, R.term_table(docs, queries=queries)).withColumn("cover_score", F.round("cover_score", 6))
 
 
 SQL_HYBRID = f"""
@@ -439,7 +452,7 @@ def _(t):
 @register("e07_hybrid_search_weighted", f"""
 WITH {SQL_CHUNKS}, {SQL_SEARCH},
 c AS (SELECT chunk_id, emb, {sql_tokens('content')} AS t, {sql_trigrams('content')} AS g FROM chunks WHERE access = 'public'),
-s AS (SELECT qid, emb, list_distinct({sql_tokens('passage')}) AS q, {sql_trigrams('passage')} AS g FROM search),
+s AS (SELECT qid, emb, list_distinct({sql_tokens('text')}) AS q, {sql_trigrams('text')} AS g FROM search),
 p AS (SELECT qid, chunk_id, list_cosine_similarity(s.emb, c.emb) AS sim, q, t,
              len(list_intersect(s.g, c.g)) AS sh, len(s.g) + len(c.g) AS total FROM s CROSS JOIN c),
 r AS (SELECT *, sh::DOUBLE / (total - sh) AS tri FROM p),
@@ -450,7 +463,7 @@ z AS (SELECT qid, chunk_id, sim, raw / (1 + raw) AS fts, tri, sim * 0.6 + raw /
 SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank, chunk_id, round(sim, 6) AS similarity,
        round(fts, 6) AS fts_rank, round(tri, 6) AS trgm_score, round(score, 6) AS score FROM z QUALIFY rank <= 20""")
 def _(t):
-    queries = t.search_queries().select("qid", F.col("passage").alias("text"), "emb")
+    queries = t.search_queries()
     found = R.hybrid_search_weighted(queries, t.chunks(), match_threshold=0.3)
     return found.select("qid", F.col("rank").cast("bigint"), "chunk_id",
                         *[F.round(c, 6).alias(c) for c in ("similarity", "fts_rank", "trgm_score", "score")])
@@ -517,7 +530,7 @@ sources AS (SELECT h.*, c.filename, c.text AS content FROM hits h JOIN corpus c
 def hybrid_sources(t: Tables):
     """Hits with what rerank and packing need; wide columns join back after the top k."""
     return (hybrid(t).join(t.corpus().select("doc_id", "filename", F.col("text").alias("content")), "doc_id")
-            .join(t.search_queries().select("qid", F.col("passage").alias("query_text")), "qid")
+            .join(t.search_queries().select("qid", F.col("text").alias("query_text")), "qid")
             .withColumn("page", F.lit(1)))
 
 
@@ -532,7 +545,7 @@ def _(t):
 
 @register("e12_rerank_lexical", f"""
 WITH {SQL_HYBRID},
-lex AS (SELECT h.qid, h.chunk_id, h.rank AS original_rank, list_distinct({sql_tokens('s.passage')}) AS q,
+lex AS (SELECT h.qid, h.chunk_id, h.rank AS original_rank, list_distinct({sql_tokens('s.text')}) AS q,
                list_distinct({sql_tokens('c.text')}) AS t FROM hits h JOIN corpus c USING (doc_id) JOIN search s USING (qid)),
 rel AS (SELECT *, len(list_intersect(q, t))::DOUBLE / len(q) AS r FROM lex)
 SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY r DESC, original_rank) AS rank, chunk_id, original_rank,
@@ -621,7 +634,7 @@ def _(t):
 @register("e19_retrieve", f"WITH {SQL_CONTEXT.replace("{budget}", "24000")} SELECT qid, context, used FROM contexts")
 def _(t):
     from .answer import retrieve
-    return retrieve(t.search_queries().select("qid", "text", "emb"), t.chunks(), t.corpus(), min_score=0.15,
+    return retrieve(t.search_queries(), t.chunks(), t.corpus(), min_score=0.15,
                     exclude_self=True).select("qid", "context", "used")
 
 

@@ -90,10 +90,8 @@ def _(t):
 @register("j07_stream_retrieval", f"WITH {SQL_HYBRID} SELECT qid, rank, chunk_id, round(c, 6) AS combined_score FROM hits")
 def _(t):
     out, checkpoint = scratch(t)
-    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{4,})"), 1)))
     queries = (replay(t, "benchmark").join(t.embeddings, F.col("item_id") == F.col("vec_id"))
-               .select(F.col("item_id").alias("qid"), F.array_join(F.slice(words, 1, 2), " ").alias("text"),
-                       F.col("embedding").alias("emb")))
+               .select(F.col("item_id").alias("qid"), "text", F.col("embedding").alias("emb")))
     job = J.stream_retrieval(queries, t.chunks(), t.corpus(), out, checkpoint, min_score=0.15, exclude_self=True)
     return finished(t, job, out).select("qid", F.col("rank").cast("bigint"), "chunk_id",
                                         F.round("combined_score", 6).alias("combined_score"))

@@ -44,13 +44,18 @@ def lexical_scorer(query: Column, content: Column) -> Column:
 
 
 def _safe(hook: EmbedHook, texts: list[str], dim: int) -> Iterator[tuple[list[float], bool]]:
+    """A vector for each text. Of a hook that raises or returns another number of vectors, every text is
+    asked for alone, so that no vector moves to another text."""
     try:
-        vectors = hook(texts)
+        vectors = list(hook(texts))
+        if len(vectors) != len(texts):
+            raise ValueError(f"{len(vectors)} vectors for {len(texts)} texts")
     except Exception:  # noqa: BLE001 - one bad text must not lose its batch
         vectors = []
         for text in texts:
             try:
-                vectors.extend(hook([text]))
+                (vector,) = hook([text])
+                vectors.append(vector)
             except Exception:  # noqa: BLE001
                 vectors.append(None)
     for vector in vectors:

@@ -162,8 +162,13 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, documents: DataFrame, l
     pool = pool.select("chunk_id", "doc_id", "content", "emb")
     near = vector_topk(queries, pool, 2 * limit, exclude_self).select("qid", "chunk_id", "vector_score")
     if fusion == "full_outer":
-        near = (near.join(text_match(queries, term_counts(pool, queries)), ["qid", "chunk_id"], "full")
-                .select("qid", "chunk_id", F.coalesce("vector_score", F.lit(0.0)).alias("vector_score")))
+        matched = text_match(queries, term_counts(pool, queries)).select("qid", "chunk_id")
+        # A text match beyond the best vectors has its own cosine, 0 only where it has no usable vector.
+        cosine = cosine_similarity("emb", "_qemb")
+        matched = (matched.join(near, ["qid", "chunk_id"], "left_anti").join(pool.select("chunk_id", "emb"), "chunk_id")
+                   .join(queries.select("qid", F.col("emb").alias("_qemb")), "qid")
+                   .select("qid", "chunk_id", F.coalesce(F.nanvl(cosine, F.lit(0.0)), F.lit(0.0)).alias("vector_score")))
+        near = near.unionByName(matched)
     wanted = queries.select("qid", F.array_sort(T.distinct_terms("text")).alias("_q"))
     scored = (near.join(pool.select("chunk_id", "doc_id", "content"), "chunk_id").join(wanted, "qid")
               .withColumn("text_score", and_score("content", "_q"))
@@ -261,9 +266,11 @@ def number_citations(hits: DataFrame) -> DataFrame:
 
 
 def pack_context(hits: DataFrame, budget: int = CONTEXT_BUDGET) -> DataFrame:
-    """hits(qid, rank, citation_id, filename, page, content) -> the sources that fit, as one text.
-    Lengths are positive, so stopping at the first overflow is a running sum within the budget."""
-    entry = F.concat(F.lit("["), F.col("citation_id"), F.lit("] ("), F.coalesce("filename", F.lit("Unknown")),
+    """hits(qid, rank, citation_id, filename[, original_filename], page, content) -> the sources that fit, as
+    one text, each under its original name, else its name, else "Unknown"; an empty name counts as
+    none. Lengths are positive, so stopping at the first overflow is a running sum within the budget."""
+    names = [F.nullif(F.col(c), F.lit("")) for c in ("original_filename", "filename") if c in hits.columns]
+    entry = F.concat(F.lit("["), F.col("citation_id"), F.lit("] ("), F.coalesce(*names, F.lit("Unknown")),
                      F.lit(", p."), F.col("page").cast("string"), F.lit(")\n"), F.col("content"))
     order = W.partitionBy("qid").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
     kept = (hits.withColumn("_entry", entry).withColumn("_sum", F.sum(F.length("_entry")).over(order))

@@ -1,9 +1,9 @@
 """Template detection: page fingerprints, profile scoring, boilerplate flags, profile mining
 and OCR-candidate selection.
 
-A profile registry is configuration of bounded size. It travels as one array literal (a
-scalar subquery that fails above MAX_REGISTRY rows), so matching is a narrow expression on
-the page or chunk row and needs no join.
+Chunks meet the patterns of their own profile by a join. To find a page's profile, all of them are
+tried; that registry is configuration of bounded size and travels as one array literal (a scalar
+subquery that fails above MAX_REGISTRY rows), so this is a narrow expression on the page row.
 """
 
 from __future__ import annotations
@@ -157,35 +157,45 @@ def profile_scores(evidence: DataFrame, anchors: DataFrame, profiles: DataFrame,
 
 
 def best_profile(scores: DataFrame, override: str | None = None, default: str | None = None) -> DataFrame:
-    """The first profile with the highest score; the default profile is tried first."""
+    """The first profile with the highest score; the default profile is tried first. With an override that
+    no profile has, a document keeps its row, without a profile and with a warning."""
     candidates = scores.where(F.col("profile_id") == override) if override else scores
     first = F.when(F.col("profile_id") == F.lit(default), 0).otherwise(1) if default else F.lit(1)
     order = W.partitionBy("doc_id").orderBy(F.desc("score"), first, "ord")
     best = candidates.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") == 1)
     matched = F.col("score") >= F.col("threshold")
+    if override:
+        best = scores.select("doc_id").distinct().join(best, "doc_id", "left")
     return best.select("doc_id", F.when(matched, F.col("profile_id")).alias("profile_id"),
-                       matched.alias("matched"), F.round("score", 4).alias("score"),
-                       F.when(~matched, F.array(F.lit("low_confidence")))
+                       F.coalesce(matched, F.lit(False)).alias("matched"),
+                       F.round("score", 4).alias("score"),
+                       F.when(F.col("score").isNull(), F.array(F.lit("profile_override_not_found")))
+                       .when(~matched, F.array(F.lit("low_confidence")))
                        .otherwise(F.array().cast("array<string>")).alias("warnings"))
 
 
 def classify_boilerplate(chunks: DataFrame, patterns: DataFrame, anchors: DataFrame | None = None,
                          token_bounded: bool = False) -> DataFrame:
     """Adds is_boilerplate to chunks(.., profile_id, content, page, bbox). A pattern counts as a
-    raw substring of the normalised text; token_bounded=True asks for whole words."""
+    raw substring of the normalised text; token_bounded=True asks for whole words. A chunk meets
+    only the patterns and anchors of its own profile, whatever the size of the registry."""
     pad = " " if token_bounded else ""
 
     def padded(c: Column) -> Column:
         return F.concat(F.lit(pad), c, F.lit(pad)) if pad else c
-    out = with_registry(chunks, "_patterns", patterns,
-                        F.struct("profile_id", normalize_match("pattern").alias("norm")))
+
+    def of_profile(df: DataFrame, name: str, registry: DataFrame, entry: Column) -> DataFrame:
+        lists = registry.where(F.col("profile_id").isNotNull()).groupBy("profile_id").agg(F.collect_list(entry).alias(name))
+        return df.join(lists, "profile_id", "left")
+
+    out = of_profile(chunks, "_patterns", patterns, F.struct(normalize_match("pattern").alias("norm")))
     out = out.withColumn("_text", padded(normalize_match("content")))
-    flag = F.exists("_patterns", lambda p: (p["profile_id"] == F.col("profile_id")) & (p["norm"] != "")
+    flag = F.exists("_patterns", lambda p: (p["norm"] != "")
                     & F.contains(F.col("_text"), padded(p["norm"])))
     if anchors is not None:
-        out = with_registry(out, "_anchors", anchors, _anchor_entry())
-        flag = flag | F.exists("_anchors", lambda a: (
-            (a["profile_id"] == F.col("profile_id")) & (a["norm"] != "") & F.contains(F.col("_text"), padded(a["norm"]))
+        out = of_profile(out, "_anchors", anchors, _anchor_entry())
+        flag = F.coalesce(flag, F.lit(False)) | F.exists("_anchors", lambda a: (
+            (a["norm"] != "") & F.contains(F.col("_text"), padded(a["norm"]))
             & (a["page"].isNull() | (a["page"] == F.col("page")))
             & (a["region"].isNull() | (G.overlap_ratio("bbox", a["region"]) >= CHUNK_OVERLAP))))
     return out.select(*chunks.columns, F.coalesce(flag, F.lit(False)).alias("is_boilerplate"))

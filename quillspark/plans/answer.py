@@ -14,8 +14,9 @@ def retrieve(queries: DataFrame, chunks: DataFrame, documents: DataFrame, top_k:
     """queries(qid, text, emb) -> qid, context, used. Content and file names join back only for the
     few hits left after the top k."""
     hits = R.hybrid_search(queries, chunks, documents, limit=limit, min_score=min_score, **search)
+    names = [c for c in ("filename", "original_filename") if c in documents.columns]
     wide = (hits.join(chunks.select("chunk_id", "content", "page"), "chunk_id")
-            .join(documents.select("doc_id", "filename"), "doc_id")
+            .join(documents.select("doc_id", *names), "doc_id")
             .join(queries.select("qid", F.col("text").alias("query_text")), "qid"))
     return R.pack_context(R.number_citations(R.rerank(wide, scorer, top_k)), budget)
 

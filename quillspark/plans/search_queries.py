@@ -223,12 +223,12 @@ c AS (SELECT conv_id AS doc_id, count(*) AS n FROM conversations WHERE length(te
 short AS (SELECT conv_id AS doc_id, turn + 1 AS page FROM conversations WHERE length(trim(text, E' \\n')) < 120)
 SELECT doc_id, page FROM short s JOIN docs USING (doc_id) LEFT JOIN c USING (doc_id)
 WHERE mime = 'application/pdf' AND coalesce(n, 0) <= 2
-QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page) <= 2""")
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page) <= 20""")
 def _(t):
     docs = t.conversations.groupBy(F.col("conv_id").alias("doc_id")).agg(
         F.when(F.min("role") == "assistant", "application/pdf").otherwise("text/plain").alias("mime"))
     chunks = t.conversations.where(F.length("text") > 400).select(F.col("conv_id").alias("doc_id"))
-    return T.ocr_candidates(docs, t.message_pages(), chunks, cap=2)
+    return T.ocr_candidates(docs, t.message_pages(), chunks)
 
 
 @register("d14_rescue_with_ocr")

@@ -559,7 +559,7 @@ def _(t):
     chunks = page_chunks(t)
     boxes = B.highlight_boxes(chunks, page_matches(t))
     citations = (chunks.join(boxes, "chunk_id").select(
-        F.col("chunk_id").alias("citation_id"), "doc_id", "page", F.substring("content", 1, 320).alias("context"), "boxes"))
+        F.col("chunk_id").alias("citation_id"), "doc_id", "page", F.col("content").alias("context"), "boxes"))
     return B.narrow_context(citations, B.page_blocks(t.headed_pages())).select(
         "citation_id", "spans", F.size("boxes").cast("bigint").alias("boxes"),
         F.round(G.total_area("boxes"), 6).alias("area"))

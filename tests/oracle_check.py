@@ -55,7 +55,7 @@ def compare(spark, con, path: str, name: str, query, sql: str | None) -> tuple[b
     got_columns, got = rows(df.columns, [tuple(r) for r in df.collect()])
     took = time.time() - start
     if sql is None:
-        return True, f"{sum(got.values())} rows, no SQL, {took:.1f}s"
+        return bool(got), f"{sum(got.values())} rows, no SQL, {took:.1f}s"
     start = time.time()
     result = con.execute(sql)
     want_columns, want = rows([d[0] for d in result.description], result.fetchall())

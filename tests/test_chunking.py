@@ -186,6 +186,24 @@ def test_boilerplate(spark):
     assert flags(token_bounded=True) == [True, False, False, False]
 
 
+def test_boilerplate_of_many_patterns(spark):
+    patterns = spark.range(20_000).select(F.concat(F.lit("p"), F.col("id") % 40).alias("profile_id"),
+                                          F.concat(F.lit("line number "), F.col("id"), F.lit(" end")).alias("pattern"))
+    chunks = spark.createDataFrame([(1, "p3", "A line number 19963 end."), (2, "p4", "line number 19963 end"), (3, "none", "x"),
+                                    (4, None, "line number 19963 end")], "chunk_id int, profile_id string, content string")
+    got = T.classify_boilerplate(chunks, patterns).orderBy("chunk_id").collect()
+    assert [r["is_boilerplate"] for r in got] == [True, False, False, False]
+
+
+def test_unknown_override_keeps_the_document(spark):
+    scores = spark.createDataFrame([(1, "a", 0, .5, .9), (2, "a", 0, .5, .2)],
+                                   "doc_id long, profile_id string, ord int, threshold double, score double")
+    got = [tuple(r) for r in T.best_profile(scores, override="gone").orderBy("doc_id").collect()]
+    assert got == [(d, None, False, None, ["profile_override_not_found"]) for d in (1, 2)]
+    got = [tuple(r) for r in T.best_profile(scores, override="a").orderBy("doc_id").collect()]
+    assert got == [(1, "a", True, .9, []), (2, None, False, .2, ["low_confidence"])]
+
+
 def test_ocr_candidates(spark):
     docs = spark.createDataFrame([(1, "application/pdf"), (2, "application/pdf"), (3, "text/plain")], "doc_id long, mime string")
     pages = spark.createDataFrame([(d, p, "short" if p > 2 else "x" * 200) for d in (1, 2, 3) for p in range(1, 26)],

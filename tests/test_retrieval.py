@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions.hooks import lexical_scorer
+from quillspark.functions.hooks import embed, lexical_scorer
 from quillspark.operators import cache as K, fuzzy, retrieval as R, similarity as S
 
 VECTORS = "chunk_id long, emb array<float>"
@@ -174,6 +174,48 @@ def test_context_stops_at_the_budget(spark):
     assert row["used"] == 2 and row["context"].startswith("[1] (Unknown, p.1)\nxxx") and row["context"].count("---") == 1
 
 
+def test_context_prefers_the_original_name(spark):
+    rows = [(1, 1, "1", "a.txt", "Original.txt", 1, "x"), (1, 2, "2", "b.txt", "", 1, "y"), (1, 3, "3", "", None, 1, "z")]
+    hits = spark.createDataFrame(rows, "qid long, rank int, citation_id string, filename string, original_filename string, "
+                                       "page int, content string")
+    context = R.pack_context(hits).first()["context"]
+    assert [line for line in context.split("\n") if line.startswith("[")] == [
+        "[1] (Original.txt, p.1)", "[2] (b.txt, p.1)", "[3] (Unknown, p.1)"]
+
+
+def test_text_hits_keep_their_cosine(spark):
+    docs = spark.createDataFrame([(i, "completed", "public", 1) for i in range(4)], "doc_id long, status string, access string, owner_id long")
+    chunks = spark.createDataFrame(
+        [(0, 0, "other", [1., 0.]), (1, 1, "other", [1., .1]), (2, 2, "wanted word", [.6, .8]), (3, 3, "wanted word", [0., 0.])],
+        "chunk_id long, doc_id long, content string, emb array<double>")
+    queries = spark.createDataFrame([(9, "wanted word", [1., 0.])], "qid long, text string, emb array<double>")
+    got = {r["chunk_id"]: round(r["vector_score"], 6) for r in
+           R.hybrid_search(queries, chunks, docs, limit=1, min_score=0.0, vector_weight=.1, text_weight=.9,
+                           fusion="full_outer").collect()}
+    assert got == {2: .6}
+    got = {r["chunk_id"]: round(r["vector_score"], 6) for r in
+           R.hybrid_search(queries, chunks, docs, limit=4, min_score=0.0, fusion="full_outer").collect()}
+    assert got[2] == .6 and got[3] == 0.0
+
+
+def test_a_frequent_term_matches_by_the_rarest(spark):
+    chunks = spark.createDataFrame([(i, "often " + ("rare" if i % 7 == 0 else "else") + " often") for i in range(50)],
+                                   "chunk_id long, content string")
+    queries = spark.createDataFrame([(1, "often rare"), (2, "rare unknown"), (3, ""), (4, "Often")], "qid long, text string")
+    got = {}
+    for r in R.text_match(queries, R.term_counts(chunks, queries)).collect():
+        got.setdefault(r["qid"], set()).add(r["chunk_id"])
+    assert got == {1: set(range(0, 50, 7)), 4: set(range(50))}
+
+
+def test_hook_with_too_few_vectors_moves_none(spark):
+    texts = spark.createDataFrame([(1, "a"), (2, "bad"), (3, "c")], "id int, text string").coalesce(1)
+    def hook(values):
+        return [[float(ord(v[0]))] for v in values if v != "bad"]
+    got = {r["id"]: (list(r["emb"]), r["embed_failed"]) for r in embed(texts, "text", hook, 1).collect()}
+    assert got == {1: ([97.0], False), 2: ([0.0], True), 3: ([99.0], False)}
+
+
 def test_empty_corpus_reason(spark):
     queries = spark.createDataFrame([(1,)], "qid long")
     none = spark.createDataFrame([], "qid long, doc_id long")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from quillspark.llm.rolling import BASE, LEAD, Block, blocks, mix
+from quillspark.session import materialize
 
 #: Bytes of the rolling window, mean distance of cuts beyond the least one, least distance.
 REACH, MEAN, LEAST = 16, 24, 8
@@ -81,7 +82,9 @@ def repeated_passages(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
     every = chunks(docs)
     shared = (every.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
               .where(F.col("low") != F.col("high")).select("digest", "low"))
-    found = every.join(shared, "digest").select("doc_id", "text_hash", "start", "length", "low").distinct()
+    # Written first, so that the join does not follow the aggregate in one stage: Spark can then split
+    # the rows of a frequent chunk, or broadcast a small table.
+    found = every.join(materialize(shared), "digest").select("doc_id", "text_hash", "start", "length", "low").distinct()
     order = Window.partitionBy("doc_id", "text_hash").orderBy("start")
     fresh = (F.lag(F.col("start") + F.col("length")).over(order).isNull()
              | (F.lag(F.col("start") + F.col("length")).over(order) < F.col("start"))).cast("int")

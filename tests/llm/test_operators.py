@@ -253,6 +253,19 @@ def test_pii(spark, empty):
     assert pii.summary(empty, pii.train(empty)).count() == 0
 
 
+def test_pii_trees_do_not_see_the_label(spark):
+    """Digits that only the checksum tells apart look alike to the trees, so none is added to the base."""
+    rng = np.random.default_rng(3)
+    rows = [(i, f"paid with card {''.join(map(str, rng.integers(0, 10, 16)))} today") for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.train(table)
+    used = {f for tree in model.trees for f in (tree[0], tree[2][0], tree[3][0])}
+    assert used <= set(pii.FEATURES) and not used & {"check", "label"}
+    got = pii.find(table, model, "doc_id").collect()
+    assert 0 < sum(len(r["base_card"]) for r in got) < 100
+    assert all(r["all_card"] == r["base_card"] for r in got)
+
+
 def test_url_filter(spark):
     rows = [(1, "http://www.Example.com/en/1?x#y"), (2, "https://example.com/en/"), (3, "http://a.net/es/1"), (4, "http://a.org/p"),
             (5, None), (6, "no scheme"), (7, "http://x.com"), (8, "http://b.org/q?utm=1"), (9, "http://b.org/q/"), (9, "http://b.org/q/")]

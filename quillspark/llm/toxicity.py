@@ -16,7 +16,8 @@ from quillspark.llm.rolling import ALNUM, LOWER, Block, grams, mix
 BITS = 20
 #: Bound of the training sample in documents.
 SAMPLE = 6000
-ALPHA, BETA, L1, L2, EPOCHS, SEED = 0.5, 1.0, 1.0, 0.0, 8, 5
+#: Rate and sparsity were chosen by three-fold cross-validation over training rows alone.
+ALPHA, BETA, L1, L2, EPOCHS, SEED = 1.0, 1.0, 5.0, 0.0, 8, 5
 #: Bytes of the stems, and the least number of sampled documents that a feature must occur in.
 STEMS, LEAST = (4, 5, 6), 4
 THRESHOLD = 0.7

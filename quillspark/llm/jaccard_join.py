@@ -163,11 +163,12 @@ def _need(x: str, y: str, percent: int) -> Column:
 def _possible(x: str, y: str, percent: int) -> Column:
     """Whether the sizes, and the shingles that others can share at all, allow the similarity, and the
     shared shingle lies in the prefixes for these two sizes: of need shared ones, k are among the
-    first size - need + k of both."""
+    first size - need + k of both. free bounds the intersection for the set whose prefix ends first in
+    the common order, which may be either: the other's prefix can hold shingles of its partner's suffix."""
     sizes, need = (F.col(f"{x}size"), F.col(f"{y}size")), _need(x, y, percent)
     inside = [F.col(f"{s}place") < F.col(f"{s}size") - need + F.least(f"{x}k", f"{y}k") for s in (x, y)]
     return ((100 * F.least(*sizes) >= percent * F.greatest(*sizes)) & inside[0] & inside[1]
-            & (F.least(f"{x}free", f"{y}free") >= need))
+            & (F.greatest(f"{x}free", f"{y}free") >= need))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -207,10 +208,10 @@ def similar_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     lists = materialize(postings(alone, frequencies(surveyed), n, percent))
     common = lists.groupBy("token").count().where(F.col("count") > 1).select("token")
     live = materialize(lists.join(common, "token"))
-    # Prefix shingles that no other document has in its prefix cannot be shared before the prefix ends.
-    free = (live.groupBy("doc_id").agg(F.count("*").alias("alive"), F.first("size").alias("size"), F.first("k").alias("k"))
-            .where(F.col("alive") >= F.col("k"))
-            .select("doc_id", (F.col("alive") - F.col("k") + _share(F.col("size"), percent)).cast("int").alias("free")))
+    # A set whose prefix ends before its partner's shares at most its live shingles and its suffix, which
+    # has share - k. The largest suffix counts where texts share an id.
+    free = live.groupBy("doc_id").agg(
+        (F.count("*") + F.max(_share(F.col("size"), percent) - F.col("k"))).cast("int").alias("free"))
     live = live.join(free, "doc_id")
     rank = (F.col("place").cast("long") * (1 << 31)) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
     heads = live.groupBy("token").agg(*[F.min_by(x, rank).alias(f"l_{x}") for x in ("doc_id", "size", "place", "free", "k")])
@@ -238,7 +239,7 @@ def similar_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     once = (F.col("y_class") == F.col("main")) | (F.col("x_doc_id") < F.col("y_doc_id"))
     left = (x.join(y, "token").where((F.col("x_class") != F.col("y_class")) & once & _possible("x_", "y_", percent))
             .groupBy(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b"))
-            .agg(F.count("*").alias("shared"), F.max(F.least("x_k", "y_k")).alias("k"))
+            .agg(F.count("*").alias("shared"), F.min(F.least("x_k", "y_k")).alias("k"))
             .where(F.col("shared") >= F.col("k")))
     more = verified(docs, materialize(left.select("a", "b")), n, percent)
 

@@ -135,6 +135,31 @@ def test_jaccard_join_of_near_copies(spark):
     assert got == {i: find(i) for i in range(160)} and len(set(got.values())) > 1
 
 
+@pytest.mark.parametrize("n, percent", [(3, 90), (5, 80)])
+def test_jaccard_join_of_unequal_sizes(spark, n, percent):
+    """Sentences appended and removed on both sides of the threshold, against all pairs: the longer text has
+    shingles in its prefix that nobody shares."""
+    rng, rows = np.random.default_rng(17), []
+    for g in range(60):
+        w = [f"g{g}v{k}" for k in rng.permutation(int(rng.integers(40, 160)))]
+        cut, at = int(len(w) * rng.choice([.04, .08, .1, .15, .2, .25])), int(rng.integers(0, len(w)))
+        rows.append((len(rows), " ".join(w)))
+        rows.append((len(rows), " ".join(w + [f"n{g}v{k}" for k in range(cut)] if g % 3 else w[:at] + w[at + cut:])))
+    rows.append((len(rows), "one sentence more " + rows[0][1]))
+    rows.append((len(rows) - 1, "an unrelated short text under the same id"))
+    sets = [set(zip(*[t.split()[k:] for k in range(n)])) for _, t in rows]
+    low = list(range(len(rows)))
+    for _ in range(3):
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if rows[i][0] == rows[j][0] or 100 * len(a & b) >= percent * len(a | b):
+                    low[i] = low[j] = min(low[i], low[j])
+    want = {d: low[i] for i, (d, _) in enumerate(rows)}
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_classes(
+        spark.createDataFrame(rows, "doc_id long, text string"), n, percent).collect()}
+    assert got == want and 20 < len(set(want.values())) < 110
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (201, 200), (5, 5), (None, 3)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

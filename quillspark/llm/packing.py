@@ -140,7 +140,8 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _pack_groups(pieces: DataFrame, groups: int, turn: int, capacity: int) -> DataFrame:
-    """One round: deal the pieces into groups, pack each. Adds sequence_id, offset, fill."""
+    """One round: deal the pieces into groups by a hash of _number, which no two rows share, so that every
+    group has about as many; pack each. Adds sequence_id, offset, fill."""
     drop = {"sequence_id", "offset", "fill", "_group"}
     base = pieces.drop(*[c for c in pieces.columns if c in drop])
     schema = StructType(base.schema.fields + [StructField(c, LongType()) for c in ("sequence_id", "offset", "fill")])
@@ -152,7 +153,7 @@ def _pack_groups(pieces: DataFrame, groups: int, turn: int, capacity: int) -> Da
         new = [(turn << 56) | (group << 20) | bins, offsets, fill[bins]]
         return pa.Table.from_arrays([*(table[c] for c in names[:-3]), *(pa.array(x) for x in new)], names=names)
 
-    group = F.pmod(F.xxhash64(*[c for c in ("doc_id", "piece", "start") if c in base.columns], F.lit(turn)), F.lit(groups))
+    group = F.pmod(F.xxhash64("_number", F.lit(turn)), F.lit(groups))
     return base.withColumn("_group", group).groupBy("_group").applyInArrow(run, schema)
 
 
@@ -167,7 +168,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds
     """Adds sequence_id and offset to pieces(length, ...), each of length 1 to capacity; every
     sequence is filled from 0 without gaps. Full pieces are sequences of their own. Rounds end when
     the total meets the lower bound, when an exchange saves nothing, or after the given number. Rows
-    are packed each by itself, repeated ones too; an empty table gives an empty one."""
+    are packed each by itself, repeated ones too; an empty table gives an empty one. The pieces are
+    numbered and written once to the checkpoint folder, so that a row keeps its number."""
+    pieces = materialize(pieces.withColumn("_number", F.monotonically_increasing_id()))
     full = pieces.where(F.col("length") == capacity)
     done = full.select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.where(F.col("length") < capacity)
@@ -194,7 +197,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    return out.drop("_number")
 
 
 def _sequences(packed: DataFrame) -> int:
@@ -215,5 +218,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     """The packed pieces of docs with the checksum of their ids instead of the ids. The pieces are
     written once to the checkpoint folder, without ids."""
     pieces = token_pieces(docs, tokenizer_path, capacity)
-    pieces = materialize(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

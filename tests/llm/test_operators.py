@@ -225,6 +225,18 @@ def test_repacking_closes_gaps(spark):
     assert len(packed) == 600 and len({r["sequence_id"] for r in packed}) <= 1.05 * bound + 1
 
 
+def test_packing_deals_repeated_rows_to_all_groups(spark):
+    rows = [(None, 0, 0, 30 + i % 7) for i in range(1000)]
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long"), capacity=100, group=50, rounds=1)
+    got = packed.collect()
+    sizes = Counter(r["sequence_id"] >> 20 for r in got)
+    assert len(got) == 1000 and len(sizes) == 20 and max(sizes.values()) < 100
+    fills = Counter()
+    for r in got:
+        fills[r["sequence_id"]] += r["length"]
+    assert max(fills.values()) <= 100 and packed.columns == ["doc_id", "piece", "start", "length", "sequence_id", "offset"]
+
+
 def test_substring_dedup(spark, docs, empty):
     got = substring_dedup.repeated_passages(docs).collect()
     by_doc = defaultdict(list)

@@ -1,6 +1,7 @@
 """Best-fit packing with certified repacking. Documents become token pieces of at most one sequence.
 Groups of pieces are packed best-fit decreasing; dual feasible functions give the whole table a lower
-bound on its sequences. While the total is above the bound, all groups put the documents of their loose sequences together, deal them anew and pack them again."""
+bound on its sequences. While the total is above the bound, all groups put the documents of their
+loose sequences together, deal them anew and pack them again."""
 
 from __future__ import annotations
 

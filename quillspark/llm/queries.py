@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm import (decontamination, jaccard_join, language_id, packing, pii, quality_classifier, quality_rules,
-                            substring_dedup, toxicity, url_filter)
+                            structure_repair, substring_dedup, toxicity, url_filter)
 from quillspark.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,63 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+@register
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.repaired(structure_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+#: k is crc32, bit by bit. One step of the recursion is one row of every conversation, from the last to the first; o holds, for each
+#: grammar state, the cheapest rest as (cost, audit, repaired rows), and `least` of such tuples breaks ties.
+ORACLE["op11_structure_repair"] = r"""
+WITH RECURSIVE
+damaged AS (
+  SELECT conv_id, turn, k, CASE k WHEN 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+         CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text
+  FROM (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(
+            coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+          lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, y: xor(x >> 1, (x & 1) * 3988292384)))) % 20 AS k
+        FROM conversations)
+  WHERE k <> 0),
+copies AS (SELECT * FROM damaged UNION ALL SELECT * FROM damaged WHERE k = 3),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+         rtrim(text, E' \t\n\x0b\x0c\r') AS body FROM copies),
+faults AS (
+  SELECT *, left(role, 1) AS r, body = '' AS blank,
+         body <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS duplicate,
+         CASE WHEN right(body, 1) IN ('.', '!', '?') THEN 0 ELSE 3 END AS extra,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM numbered),
+sizes AS (SELECT conv_id, max(i) AS n FROM faults GROUP BY 1),
+walk AS (
+  SELECT conv_id, n AS i, {'c': 0, 'a': '', 't': []::VARCHAR[]} AS o0, {'c': 6, 'a': 'II', 't': ['user:', 'assistant:']} AS os,
+         {'c': 3, 'a': 'I', 't': ['assistant:']} AS ou, {'c': 0, 'a': '', 't': []::VARCHAR[]} AS oa FROM sizes
+  UNION ALL
+  SELECT conv_id, i, b0, least(bs, {'c': 3 + iu.c, 'a': 'I' || iu.a, 't': list_prepend('user:', iu.t)}),
+         iu, least(ba, {'c': 3 + iu.c, 'a': 'I' || iu.a, 't': list_prepend('user:', iu.t)})
+  FROM (SELECT conv_id, i, least(b0, {'c': 3 + iu.c, 'a': 'I' || iu.a, 't': list_prepend('user:', iu.t)}) AS b0, bs, ba, iu FROM (
+    SELECT *, least(bu, {'c': 3 + ba.c, 'a': 'I' || ba.a, 't': list_prepend('assistant:', ba.t)}) AS iu FROM (
+      SELECT w.conv_id, w.i - 1 AS i,
+        least(d0, CASE WHEN f.r = 's' AND NOT gone THEN {'c': extra + os.c, 'a': 'K' || os.a, 't': list_prepend(own, os.t)}
+                       WHEN f.r = 'u' AND NOT gone THEN ku ELSE d0 END, CASE WHEN gone THEN d0 ELSE ru END) AS b0,
+        least(ds, CASE WHEN f.r = 'u' AND NOT gone THEN ku ELSE ds END, CASE WHEN gone THEN ds ELSE ru END) AS bs,
+        least(da, CASE WHEN f.r = 'u' AND NOT gone THEN ku ELSE da END, CASE WHEN gone THEN da ELSE ru END) AS ba,
+        least(du, CASE WHEN f.r = 'a' AND NOT gone THEN {'c': extra + oa.c, 'a': 'K' || oa.a, 't': list_prepend(own, oa.t)} ELSE du END,
+              CASE WHEN gone THEN du ELSE {'c': 3 + extra + oa.c, 'a': 'R' || oa.a, 't': list_prepend('assistant:' || text, oa.t)} END) AS bu
+      FROM (SELECT *, {'c': 4 + o0.c, 'a': 'D' || o0.a, 't': o0.t} AS d0, {'c': 4 + os.c, 'a': 'D' || os.a, 't': os.t} AS ds,
+                   {'c': 4 + ou.c, 'a': 'D' || ou.a, 't': ou.t} AS du, {'c': 4 + oa.c, 'a': 'D' || oa.a, 't': oa.t} AS da FROM walk) w
+      JOIN (SELECT *, blank OR duplicate AS gone, role || ':' || text AS own FROM faults) f
+        ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i,
+      LATERAL (SELECT {'c': extra + ou.c, 'a': 'K' || ou.a, 't': list_prepend(own, ou.t)} AS ku,
+                      {'c': 3 + extra + ou.c, 'a': 'R' || ou.a, 't': list_prepend('user:' || text, ou.t)} AS ru) x)))),
+best AS (SELECT conv_id, o0 FROM walk WHERE i = 0),
+sums AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (NOT blank AND NOT duplicate AND extra = 3) AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY 1)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(o0.c, 0) AS BIGINT) AS cost,
+       coalesce(o0.a, '') AS audit, sha256(coalesce(array_to_string(o0.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN best b ON o.conv_id IS NOT DISTINCT FROM b.conv_id
+LEFT JOIN sums s ON o.conv_id IS NOT DISTINCT FROM s.conv_id"""

@@ -5,9 +5,6 @@ loose sequences together, deal them anew and pack them again."""
 
 from __future__ import annotations
 
-import json
-import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
+from quillspark.llm.tokens import ByteLevel
 from quillspark.session import materialize
 
 CAPACITY, END = 2048, 0
@@ -23,51 +21,9 @@ GROUP = 8192
 #: Sequences filled to this share take no part in an exchange.
 TIGHT, ROUNDS = 0.995, 4
 
-# The published split pattern of the byte-level vocabulary, whole and without the
-# look-ahead, which only matters where white space follows white space.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
-
-
-class Encoder:
-    """Token ids of the tokenizer file. Texts of Latin letters, where the Unicode tables of both
-    libraries agree, are encoded by tiktoken from the same file's vocabulary, which is several times
-    faster; all others by tokenizers itself."""
-
-    _double = re.compile(r"\s\s")
-    _other = re.compile("[^\u0000-ɏ]")
-
-    def __init__(self, path: str) -> None:
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.exact = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        letters = {chr(b): b for b in printable}
-        letters |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
-        ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        self.full = tiktoken.Encoding("full", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.plain = tiktoken.Encoding("plain", pat_str=PLAIN, mergeable_ranks=ranks, special_tokens=special)
-
-    def ids(self, text: str) -> np.ndarray:
-        if self._other.search(text):
-            return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        fast = self.full if self._double.search(text) else self.plain
-        return fast.encode_to_numpy(text, allowed_special="all")
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One encoder a file and Python worker, as loading takes a second."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str) -> ByteLevel:
+    """The ids of the tokenizer file, for one task."""
+    return ByteLevel(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm import (chat_windows, decontamination, jaccard_join, language_id, packing, pii, quality_classifier, quality_rules,
-                            structure_repair, substring_dedup, toxicity, url_filter)
+                            structure_repair, substring_dedup, token_alignment, toxicity, url_filter)
 from quillspark.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,6 +174,18 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN best b ON o.conv_i
 LEFT JOIN sums s ON o.conv_id IS NOT DISTINCT FROM s.conv_id"""
 
 
+def piece_path() -> str:
+    """Place of the public sentencepiece vocabulary, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@register
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.token_alignment(table(spark, sf_dir, "documents"), tokenizer_path(), piece_path())
+
+
 #: A conversation whose texts are control strings.
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
 

@@ -392,3 +392,14 @@ def test_pipeline(spark):
     final = corpus_pipeline.run(spark, PATH)
     assert final.where("piece = 0").count() == four.count()
     assert final.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def test_decontamination_by_shuffle_equals_broadcast(spark, docs, empty):
+    items = [(1, " ".join(BASE.split()[10:40])), (2, "a B c"), (3, "one"), (4, " ".join(LONG.split()[500:520]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    ways = [sorted((tuple(r) for r in decontamination.contamination(docs, bench, max_rows=n).collect()), key=key) for n in (1000, 0)]
+    assert ways[0] == ways[1] and sum(r[2] > 0 for r in ways[0]) > 5
+    for bench in (bench, bench.limit(0)):
+        assert decontamination.contamination(empty, bench).count() == 0
+    clean = decontamination.contamination(docs, bench.limit(0)).collect()
+    assert len(clean) == len(ROWS) and not any(r["contaminated"] for r in clean)

@@ -18,7 +18,9 @@ def text_to_blocks(docs: DataFrame) -> DataFrame:
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda s: trim_unicode(s) != "")
     height = F.lit(1.0) / F.col("_n")
-    return (docs.select("doc_id", F.size(lines).alias("_n"), F.posexplode(kept).alias("pos", "text"))
+    # Counted before the explode, so that the text does not go along with every line.
+    return (docs.select("doc_id", F.size(lines).alias("_n"), kept.alias("_kept"))
+            .select("doc_id", "_n", F.posexplode("_kept").alias("pos", "text"))
             .select("doc_id", F.lit(1).alias("page"), "pos", trim_unicode("text").alias("text"),
                     G.box(0, F.col("pos") * height, 1, height).alias("box")))
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import hooks, terms as M
-from ..operators import blocks as B, cache as K, retrieval as R, similarity as S, templates as T
+from ..operators import blocks as B, cache as K, retrieval as R, similarity as S, templates as T, vector_index as VI
 from ..operators.fuzzy import trigram_join, trigram_text_pairs
 from ..functions.text import query_hash
 from .catalog import (AS_OF, SQL_CHUNKS, SQL_CORPUS, SQL_DOCUMENT_PAGES, SQL_MESSAGE_PAGES, SQL_SEARCH, Tables, as_of,
                       register, sql_blocks, sql_match, sql_match_tokens, sql_tokens, sql_trigrams)
 from .text_queries import document_pages, marked_answers, page_chunks
+from ..session import ensure_checkpoint_dir, materialize
 
 # --- D: templates and OCR candidates ----------------------------------------------------------
 
@@ -333,6 +336,31 @@ def _(t):
     return S.recall_at_k(exact, S.vector_topk_approx(vector_queries(t), t.vectors(), 10, dim=64, exclude_self=True))
 
 
+def trained_index(t: Tables):
+    """Trains on the given vectors and writes the index to the shared checkpoint folder."""
+    path = f"{ensure_checkpoint_dir(t.spark)}/index-{uuid.uuid4().hex}"
+    book = VI.fit(t.vectors(), 64)
+    VI.write_index(t.vectors(), book, path)
+    return VI.cells(t.spark, path), book
+
+
+@register("e04_vector_topk_index")
+def _(t):
+    return rounded(VI.index_topk(vector_queries(t), *trained_index(t), 10, exclude_self=True))
+
+
+#: The index's own figures are not SQL's; that they keep their bounds is.
+@register("e04_index_report", """
+WITH v AS (SELECT vec_id, list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) AS n FROM embeddings)
+SELECT (SELECT count(*) FROM v) * least(10, (SELECT count(*) FROM v) - 1) AS expected, true AS recall_ok, true AS scored_ok""")
+def _(t):
+    scores = materialize(VI.index_scores(vector_queries(t), *trained_index(t), 10, exclude_self=True))
+    recall = S.recall_at_k(S.vector_topk(vector_queries(t), t.vectors(), 10, exclude_self=True),
+                           S.rank_scores(scores.where("qid IS NOT NULL"), 10))
+    scored = scores.where("qid IS NULL").agg(F.sum("vector_score")).scalar() / F.pow(t.vectors().agg(F.count("*")).scalar(), F.lit(2))
+    return recall.select("expected", (F.col("recall") >= 0.9).alias("recall_ok"), (scored <= 0.5).alias("scored_ok"))
+
+
 SQL_TERMS = f"""
 toks AS (SELECT doc_id AS chunk_id, {sql_tokens('text')} AS t FROM documents),
 terms AS (SELECT chunk_id, len(t) AS length, unnest(t) AS term FROM toks),

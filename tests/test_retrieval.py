@@ -1,11 +1,13 @@
 """Vector search, text match, rerank, cache: edge inputs, hot buckets, brute force."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions.hooks import embed, lexical_scorer
-from quillspark.operators import cache as K, fuzzy, retrieval as R, similarity as S
+from quillspark.operators import cache as K, fuzzy, retrieval as R, similarity as S, vector_index as VI
 
 VECTORS = "chunk_id long, emb array<float>"
 
@@ -84,6 +86,48 @@ def test_approximate_recall(spark):
     assert S.recall_at_k(exact, approx).first()["recall"] >= 0.95
 
 
+def clustered(n, dim, seed):
+    rng = np.random.default_rng(seed)
+    return rng.normal(size=(n // 20, dim)).repeat(20, axis=0) + .4 * rng.normal(size=(n // 20 * 20, dim))
+
+
+def test_trained_index(spark, tmp_path):
+    """Recall and the share of exactly scored pairs over vectors with clusters, a third of them copies of one."""
+    matrix = clustered(3000, 32, 5)
+    matrix[::3] = matrix[0]
+    queries, chunks = frames(spark, matrix, 3000)
+    queries = queries.where(F.col("qid") % 30 == 1)
+    book = VI.fit(chunks, 32)
+    VI.write_index(chunks, book, str(tmp_path))
+    index, read = VI.read_index(spark, str(tmp_path))
+    assert read.probes == book.probes < len(book.centres) and index.count() == 3000
+    exact = S.vector_topk(queries, chunks, 10, True)
+    scores = VI.index_scores(queries, index, read, 10, True)
+    assert S.recall_at_k(exact, S.rank_scores(scores.where("qid IS NOT NULL"), 10)).first()["recall"] >= 0.9
+    assert scores.where("qid IS NULL").agg(F.sum("vector_score")).first()[0] < 0.3 * 3000 * queries.count()
+    blocks = S.rank_scores(VI.index_scores(queries, index, read, 10, True, max_queries=10), 10)
+    assert S.recall_at_k(exact, blocks).first()["recall"] >= 0.9
+    found = VI.index_topk(queries, index, read, 10, True)
+    # A query may get fewer than k where the cells it probes hold fewer.
+    assert found.count() == found.dropDuplicates(["qid", "chunk_id"]).count() > 9.5 * queries.count()
+    plan = VI._probe_scores(index, read, queries.limit(1).select("qid", "emb").toArrow(), 10, True, None, ("bigint", "bigint"))
+    read = plan._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*shelf", read) and re.search(r"PushedFilters: \[[^]]*cell", read)
+
+
+def test_trained_index_of_few_and_odd_vectors(spark, tmp_path):
+    rows = [(1, [1., 0.]), (2, None), (3, [0., 0.]), (4, [1.]), (5, [0., 1.]), (6, [1., 0.])]
+    chunks = spark.createDataFrame(rows, VECTORS)
+    queries = chunks.select(F.col("chunk_id").alias("qid"), "emb")
+    assert VI.fit(chunks, 3) is None
+    book = VI.fit(chunks, 2)
+    VI.write_index(chunks, book, str(tmp_path))
+    index, _ = VI.read_index(spark, str(tmp_path))
+    assert sorted(r["chunk_id"] for r in index.collect()) == [1, 5, 6]
+    got = ranked(VI.index_topk(queries, index, book, 5, exclude_self=True))
+    assert got[1][0] == 6 and got[6][0] == 1 and set(got) <= {1, 5, 6}
+
+
 def test_threshold_falls_back_to_the_best(spark):
     chunks = spark.createDataFrame([(1, [1., 0.]), (2, [.9, .1]), (3, [0., 1.])], VECTORS)
     queries = spark.createDataFrame([(1, [1., 0.]), (2, [-1., -.2])], "qid long, emb array<float>")

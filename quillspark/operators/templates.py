@@ -1,9 +1,9 @@
 """Template detection: page fingerprints, profile scoring, boilerplate flags, profile mining
 and OCR-candidate selection.
 
-Chunks meet the patterns of their own profile by a join. To find a page's profile, all of them are
-tried; that registry is configuration of bounded size and travels as one array literal (a scalar
-subquery that fails above MAX_REGISTRY rows), so this is a narrow expression on the page row.
+Chunks meet the patterns of their own profile by a join. To find a page's profile, its text meets only the
+anchors filed under a key it holds (pattern_search), whatever the number of profiles, and only the
+profiles that a document has evidence for get a score.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import geometry as G
 from ..functions.text import collapse_spaces, normalize_match, tokenize_match, trim_unicode
+from .pattern_search import find_patterns
 from .chunking import MAX_TOKENS, MIN_TOKENS, OVERLAP, document_lines, segments, split_long
 from ..functions.text import estimate_tokens
 
-MAX_REGISTRY = 10_000
+MAX_REGISTRY = 10_000  # rows of a profile's export
 MIN_PAGES, MAX_PAGES, PAGE_SHARE = 3, 12, 0.10
 TEXT_LAYER_MIN, DEFAULT_THRESHOLD = 50, 0.72
 ANCHOR_OVERLAP, CHUNK_OVERLAP = 0.15, 0.2
@@ -72,6 +73,7 @@ def page_evidence(pages: DataFrame, blocks: DataFrame, ocr: DataFrame | None = N
     """Per sampled page: merged text, flags, fingerprints, and the page's own blocks.
     ocr(doc_id, page, ocr_text) is used only on pages whose text layer is short."""
     sampled = sampled_pages(pages)
+    blocks = blocks.join(sampled.select("doc_id", "page"), ["doc_id", "page"], "left_semi")
     kept = trim_unicode("text")
     ordered = F.array_sort(F.collect_list(F.when(kept != "", F.struct("pos", kept.alias("text"), "box"))))
     layer = (blocks.groupBy("doc_id", "page")
@@ -110,52 +112,79 @@ def _anchor_entry() -> Column:
 
 
 def anchor_hits(evidence: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Anchors found on the sampled pages: (doc_id, profile_id, anchor_no, weight)."""
-    def found(a: Column) -> Column:
-        placed = (a["region"].isNull() | (F.size("blocks") == 0)
-                  | F.exists("blocks", lambda b: F.contains(b["norm"], a["norm"])
-                             & (G.overlap_ratio(b["box"], a["region"]) >= ANCHOR_OVERLAP)))
-        return ((a["norm"] != "") & (a["page"].isNull() | (a["page"] == F.col("page")))
-                & F.contains(F.col("normalized_text"), a["norm"]) & placed)
-    return (with_registry(evidence, "_anchors", anchors, _anchor_entry())
-            .select("doc_id", F.explode(F.filter("_anchors", found)).alias("a"))
-            .groupBy("doc_id", F.col("a.profile_id").alias("profile_id"), F.col("a.anchor_no").alias("anchor_no"))
-            .agg(F.max("a.weight").alias("weight")))
-
-
-def profile_scores(evidence: DataFrame, anchors: DataFrame, profiles: DataFrame,
-                   sampled: DataFrame) -> DataFrame:
-    """(doc_id, profile_id, ord, threshold, score): 0.6 anchors + 0.4 page fingerprints."""
+    """Anchors found on the sampled pages: (doc_id, profile_id, anchor_no, weight), for registries of any size."""
+    entries = anchors.select("profile_id", "anchor_no", normalize_match("text").alias("norm"), F.col("page").alias("_page"), "region",
+                             F.coalesce("weight", F.lit(1.0)).alias("weight"))
+    found = find_patterns(evidence, ["doc_id", "page"], "normalized_text", entries)
+    met = found.join(entries, "norm").where(F.col("_page").isNull() | (F.col("_page") == F.col("page")))
+    # Only anchors with a region need the page's blocks.
+    somewhere = met.where(F.col("region").isNull()).select("doc_id", "profile_id", "anchor_no", "weight")
+    placed = met.where(F.col("region").isNotNull()).join(evidence.select("doc_id", "page", "blocks"), ["doc_id", "page"])
+    inside = (F.size("blocks") == 0) | F.exists("blocks", lambda b: F.contains(b["norm"], F.col("norm"))
+                                                & (G.overlap_ratio(b["box"], F.col("region")) >= ANCHOR_OVERLAP))
+    placed = placed.where(inside).select("doc_id", "profile_id", "anchor_no", "weight")
+    return somewhere.unionByName(placed).groupBy("doc_id", "profile_id", "anchor_no").agg(F.max("weight").alias("weight"))
+
+
+def _profile_entries(anchors: DataFrame, profiles: DataFrame) -> DataFrame:
     totals = anchors.groupBy("profile_id").agg(F.sum(F.coalesce("weight", F.lit(1.0))).alias("total"))
-    entry = F.struct("profile_id", "ord", F.coalesce("match_threshold", F.lit(DEFAULT_THRESHOLD)).alias("threshold"),
-                     F.coalesce("total", F.lit(0.0)).alias("total"))
+    return profiles.join(totals, "profile_id", "left").select(
+        "profile_id", "ord", F.coalesce("match_threshold", F.lit(DEFAULT_THRESHOLD)).alias("threshold"),
+        F.coalesce("total", F.lit(0.0)).alias("total"))
+
+
+def sparse_scores(evidence: DataFrame, anchors: DataFrame, profiles: DataFrame, sampled: DataFrame) -> DataFrame:
+    """(doc_id, profile_id, ord, threshold, score) of the profiles a document has any evidence for: 0.6 anchors +
+    0.4 page fingerprints. All other profiles score 0."""
+    hits = anchor_hits(evidence, anchors).groupBy("doc_id", "profile_id").agg(F.sum("weight").alias("hit"))
+    pages = evidence.select("doc_id", "page", "visual_hash", "token_hash")
+    # A print counts once by its better match: 1 by layout, else a half by words.
+    prints = sampled.select("profile_id", "page", F.col("visual_hash").alias("_v"), F.col("token_hash").alias("_t"))
+    same = (pages.join(prints, (pages["page"] == prints["page"]) & (F.col("visual_hash") == F.col("_v")))
+            .select("doc_id", "profile_id", F.lit(1.0).alias("seen"))
+            .unionByName(pages.join(prints, (pages["page"] == prints["page"]) & (F.col("token_hash") == F.col("_t"))
+                                    & ~F.col("visual_hash").eqNullSafe(F.col("_v")))
+                         .select("doc_id", "profile_id", F.lit(0.5).alias("seen"))))
+    seen = same.groupBy("doc_id", "profile_id").agg(F.sum("seen").alias("seen"))
+    pairs = hits.join(seen, ["doc_id", "profile_id"], "full")
+    # How many of the profile's prints stand on pages the document has.
+    numbers = sampled.groupBy("profile_id", "page").agg(F.count("*").alias("_n"))
+    rows = (pairs.select("doc_id", "profile_id").join(numbers, "profile_id").join(pages.select("doc_id", "page"), ["doc_id", "page"])
+            .groupBy("doc_id", "profile_id").agg(F.sum("_n").alias("rows")))
     zero = F.lit(0.0)
-    base = (with_registry(evidence.select("doc_id").distinct(), "_profiles",
-                          profiles.join(totals, "profile_id", "left"), entry)
-            .select("doc_id", F.explode("_profiles").alias("p"))
-            .select("doc_id", "p.*", zero.alias("hit"), zero.alias("seen"), F.lit(0).alias("rows")))
-    none = [F.lit(None).cast(t).alias(n) for n, t in (("ord", "int"), ("threshold", "double"), ("total", "double"))]
-    hits = anchor_hits(evidence, anchors).select(
-        "doc_id", "profile_id", *none, F.col("weight").alias("hit"), zero.alias("seen"), F.lit(0).alias("rows"))
-    points = (F.when(F.col("s.visual_hash") == F.col("visual_hash"), 1.0)
-              .when(F.col("s.token_hash") == F.col("token_hash"), 0.5).otherwise(0.0))
-    visual = (with_registry(evidence, "_prints", sampled,
-                            F.struct("profile_id", "page", "visual_hash", "token_hash"))
-              .select("doc_id", "visual_hash", "token_hash",
-                      F.explode(F.filter("_prints", lambda s: s["page"] == F.col("page"))).alias("s"))
-              .select("doc_id", "s.profile_id", *none, zero.alias("hit"), points.alias("seen"),
-                      F.lit(1).alias("rows")))
-    summed = (base.unionByName(hits).unionByName(visual).groupBy("doc_id", "profile_id")
-              .agg(F.max("ord").alias("ord"), F.max("threshold").alias("threshold"), F.max("total").alias("total"),
-                   F.sum("hit").alias("hit"), F.sum("seen").alias("seen"), F.sum("rows").alias("rows")))
-    anchor_score = F.coalesce(F.try_divide("hit", "total"), F.lit(0.0))
-    visual_score = F.coalesce(F.try_divide("seen", "rows"), F.lit(0.0))
+    summed = (pairs.join(rows, ["doc_id", "profile_id"], "left").join(_profile_entries(anchors, profiles), "profile_id")
+              .withColumns({"hit": F.coalesce("hit", zero), "seen": F.coalesce("seen", zero), "rows": F.coalesce("rows", F.lit(0))}))
+    anchor_score, visual_score = F.coalesce(F.try_divide("hit", "total"), zero), F.coalesce(F.try_divide("seen", "rows"), zero)
     score = (F.when((F.col("rows") == 0) & (F.col("total") == 0), 0.0)
              .when(F.col("rows") == 0, anchor_score).when(F.col("total") == 0, visual_score)
              .otherwise(anchor_score * 0.6 + visual_score * 0.4))
     return summed.select("doc_id", "profile_id", "ord", "threshold", score.alias("score"))
 
 
+def profile_scores(evidence: DataFrame, anchors: DataFrame, profiles: DataFrame,
+                   sampled: DataFrame) -> DataFrame:
+    """sparse_scores with the zeros of all other profiles: documents x profiles rows, for small registries and for
+    looking at; best profiles come from detect_profiles, which needs no such grid."""
+    found = sparse_scores(evidence, anchors, profiles, sampled)
+    names = _profile_entries(anchors, profiles).drop("total")
+    grid = evidence.select("doc_id").distinct().crossJoin(names)
+    return (grid.join(found.select("doc_id", "profile_id", "score"), ["doc_id", "profile_id"], "left")
+            .select("doc_id", "profile_id", "ord", "threshold", F.coalesce("score", F.lit(0.0)).alias("score")))
+
+
+def detect_profiles(evidence: DataFrame, anchors: DataFrame, profiles: DataFrame, sampled: DataFrame,
+                    override: str | None = None, default: str | None = None) -> DataFrame:
+    """best_profile over the scores of all profiles, from the sparse ones and one more row a document: the profile
+    that comes first among equals, with score 0."""
+    found = sparse_scores(evidence, anchors, profiles, sampled)
+    wanted = F.when(F.col("profile_id") == F.lit(override if override else default), 0).otherwise(1)
+    first = (_profile_entries(anchors, profiles).orderBy(wanted, "ord").limit(1)
+             .select("profile_id", "ord", "threshold", F.lit(0.0).alias("score")))
+    floor = evidence.select("doc_id").distinct().crossJoin(F.broadcast(first))  # one row
+    highest = (found.unionByName(floor).groupBy("doc_id", "profile_id", "ord", "threshold").agg(F.max("score").alias("score")))
+    return best_profile(highest, override, default)
+
+
 def best_profile(scores: DataFrame, override: str | None = None, default: str | None = None) -> DataFrame:
     """The first profile with the highest score; the default profile is tried first. With an override that
     no profile has, a document keeps its row, without a profile and with a warning."""

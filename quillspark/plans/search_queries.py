@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import hooks, terms as M
 from ..operators import blocks as B, cache as K, retrieval as R, similarity as S, templates as T, vector_index as VI
 from ..operators.fuzzy import trigram_join, trigram_text_pairs
-from ..functions.text import query_hash
+from ..operators.pattern_search import find_patterns
+from ..functions import geometry as G
+from ..functions.text import normalize_match, query_hash
 from .catalog import (AS_OF, SQL_CHUNKS, SQL_CORPUS, SQL_DOCUMENT_PAGES, SQL_MESSAGE_PAGES, SQL_SEARCH, Tables, as_of,
                       register, sql_blocks, sql_match, sql_match_tokens, sql_tokens, sql_trigrams)
 from .text_queries import document_pages, marked_answers, page_chunks
@@ -167,10 +169,45 @@ SELECT doc_id, CASE WHEN score >= threshold THEN profile_id END AS profile_id, s
 FROM best WHERE rn = 1""")
 def _(t):
     profiles, anchors, prints = role_profiles(t)
-    best = T.best_profile(T.profile_scores(evidence(t), anchors, profiles, prints), default="user")
+    best = T.detect_profiles(evidence(t), anchors, profiles, prints, default="user")
     return best.withColumn("warnings", F.array_join("warnings", ","))
 
 
+SQL_OWN_LINES = f"""{SQL_EVIDENCE},
+marks AS (SELECT doc_id AS profile_id, {sql_match("text")} AS nt FROM blocks WHERE pos = 0 AND length({sql_match("text")}) >= 6),
+told AS (SELECT DISTINCT p.doc_id, p.page, m.nt FROM proofs p JOIN (SELECT DISTINCT nt FROM marks) m ON contains(p.norm, m.nt))"""
+
+
+def own_profiles(t: Tables):
+    """A registry that grows with the corpus: each conversation is a profile with the first lines of its turns as
+    anchors."""
+    pages = t.message_pages()
+    lines = B.page_blocks(pages).where("pos = 0").select(F.col("doc_id").alias("profile_id"), F.col("page").alias("anchor_no"), "text",
+                                                         F.length(normalize_match("text")).alias("_n")).where("_n >= 6")
+    return lines.select("profile_id", "anchor_no", "text", F.lit(None).cast("int").alias("page"),
+                        F.lit(None).cast(G.BOX).alias("region"), F.lit(1.0).alias("weight"))
+
+
+@register("d06_pattern_search", f"WITH {SQL_OWN_LINES} SELECT doc_id, page, nt AS pattern FROM told")
+def _(t):
+    patterns = own_profiles(t).select(normalize_match("text").alias("norm"))
+    return find_patterns(evidence(t), ["doc_id", "page"], "normalized_text", patterns).select(
+        "doc_id", F.col("page").cast("bigint"), F.col("norm").alias("pattern"))
+
+
+@register("d07_sparse_scores", f"""
+WITH {SQL_OWN_LINES},
+totals AS (SELECT profile_id, count(*) AS total FROM marks GROUP BY 1),
+hits AS (SELECT f.doc_id, m.profile_id, count(*) AS hit FROM (SELECT DISTINCT doc_id, nt FROM told) f JOIN marks m USING (nt) GROUP BY ALL)
+SELECT doc_id, profile_id, round(hit / total, 6) AS score FROM hits JOIN totals USING (profile_id)""")
+def _(t):
+    anchors = own_profiles(t)
+    profiles = anchors.select("profile_id").distinct().select("profile_id", F.col("profile_id").cast("int").alias("ord"),
+                                                             F.lit(None).cast("double").alias("match_threshold"))
+    none = evidence(t).where("false").select(F.col("doc_id").alias("profile_id"), "page", "visual_hash", "token_hash")
+    return T.sparse_scores(evidence(t), anchors, profiles, none).select("doc_id", "profile_id", F.round("score", 6).alias("score"))
+
+
 def mined_lines(t: Tables):
     return T.mine_profile(B.page_blocks(document_pages(t)))
 

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import audit as A, concepts as G, listing as L, mining as N, quota as Q, review as V
@@ -140,6 +142,29 @@ def quota_rows(spark, hours, limit):
     return events, Q.anchored_quota(events, "user_id", "ts", "event_id", 24 * 3600, limit).orderBy("event_id").collect()
 
 
+def fold_quota(rows, width, limit):
+    out, state = {}, {}
+    for key, t, i in sorted(rows):
+        start, n = state.get(key, (None, 0))
+        start, n = (t, 1) if start is None or t - start > width else (start, n + 1)
+        state[key] = start, n
+        out[i] = n, start, n <= limit
+    return out
+
+
+@pytest.mark.parametrize("segment,block", [(1 << 20, 1 << 16), (40, 1 << 16), (1, 1 << 16), (40, 12), (10, 0)])
+def test_quota_by_composed_segments(spark, segment, block):
+    """One piece a key, keys cut into segments, dense keys by sorts: a hot key with a third of all rows, gaps, repeated times."""
+    rng = np.random.default_rng(segment + block)
+    rows = [(int(k), int(t), i) for i, (k, t) in enumerate(zip(rng.choice([1, 1, 2, 3, 4], 900), rng.integers(0, 60, 900) * 4000 + rng.integers(0, 3, 900)))]
+    rows += [(5, 86_400 * d, 1000 + d) for d in range(12)] + [(6, 86_400 * d + d, 2000 + d) for d in range(12)]
+    events = spark.createDataFrame([(i, k, t) for k, t, i in rows], "event_id long, user_id long, s long").select(
+        "event_id", "user_id", F.timestamp_seconds("s").alias("ts"))
+    got = Q.anchored_quota(events, "user_id", "ts", "event_id", 86_400, 3, segment, block).withColumn("s", F.unix_seconds("window_start")).collect()
+    assert len(got) == len(rows)
+    assert {r["event_id"]: (r["requests"], r["s"], r["allowed"]) for r in got} == fold_quota(rows, 86_400, 3)
+
+
 def test_anchored_quota_golden(spark):
     _, rows = quota_rows(spark, [0, 1, 2, 3, 24, 24.5, 48.5, 49], 2)
     assert [r["requests"] for r in rows] == [1, 2, 3, 4, 5, 1, 2, 1]

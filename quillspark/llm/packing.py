@@ -1,16 +1,19 @@
 """Best-fit packing with certified repacking. Documents become token pieces of at most one sequence.
-Groups of pieces are packed best-fit decreasing; dual feasible functions give the whole table a lower
-bound on its sequences. While the total is above the bound, all groups put the documents of their
-loose sequences together, deal them anew and pack them again."""
+Groups of pieces are packed best-fit decreasing; dual feasible functions give each group a lower bound on its
+sequences, and a group that meets it is certified and keeps its sequences. The others put the documents of
+their loose sequences together, deal them anew and pack them again. Bounds of groups may add up to more than
+that of the whole table; while the total is above the latter, a last exchange opens the loose sequences
+of certified groups too."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from quillspark.llm.tokens import ByteLevel
 from quillspark.session import materialize
@@ -21,33 +24,50 @@ GROUP = 8192
 #: Sequences filled to this share take no part in an exchange.
 TIGHT, ROUNDS = 0.995, 4
 
+
 def encoder(path: str) -> ByteLevel:
     """The ids of the tokenizer file, for one task."""
     return ByteLevel(path)
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
+#: Bytes of ids that a task gathers before it hands pieces on.
+FLUSH = 1 << 21
+
+
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
     """The pieces of docs(doc_id, text): piece (from 0), start, length, and ids, unsigned 32-bit
-    little-endian. A document is its ids and a closing END; only one of more than capacity ids is
-    cut, so that every piece but the first is full. A null or empty text is END alone. Repeated rows
+    little-endian, or else their crc32 as ids_crc32. A document is its ids and a closing END; only one of more than
+    capacity ids is cut, so that every piece but the first is full. A null or empty text is END alone. Repeated rows
     give repeated pieces; other columns are ignored."""
+    data_field = StructField("ids", BinaryType()) if with_ids else StructField("ids_crc32", LongType())
     schema = StructType([docs.schema["doc_id"], StructField("piece", IntegerType()), StructField("start", LongType()),
-                         StructField("length", LongType()), StructField("ids", BinaryType())])
+                         StructField("length", LongType()), data_field])
     names = schema.names
+    kind = pa.binary() if with_ids else pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
         for batch in batches:
-            row, piece, start, length, data = [], [], [], [], []
+            rows: list[tuple] = []
+            held = 0
             for at, text in enumerate(batch.column(1)):
                 ids = np.append(encode.ids(text.as_py() or ""), END).astype("<u4")
                 edge = len(ids) - (-(-len(ids) // capacity) - 1) * capacity
                 for k, (lo, hi) in enumerate([(0, edge), *((x, x + capacity) for x in range(edge, len(ids), capacity))]):
-                    row.append(at), piece.append(k), start.append(lo), length.append(hi - lo)
-                    data.append(ids[lo:hi].tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                 pa.array(length, pa.int64()), pa.array(data, pa.binary())], names=names)
+                    data = ids[lo:hi].tobytes()
+                    rows.append((at, k, lo, hi - lo, data if with_ids else zlib.crc32(data)))
+                held += ids.nbytes
+                if held > FLUSH:
+                    yield batch_of(batch, rows)
+                    rows, held = [], 0
+            if rows:
+                yield batch_of(batch, rows)
+
+    def batch_of(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        row, piece, start, length, data = zip(*rows)
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+             pa.array(length, pa.int64()), pa.array(data, kind)], names=names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -97,17 +117,20 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 def _pack_groups(pieces: DataFrame, groups: int, turn: int, capacity: int) -> DataFrame:
     """One round: deal the pieces into groups by a hash of _number, which no two rows share, so that every
-    group has about as many; pack each. Adds sequence_id, offset, fill."""
-    drop = {"sequence_id", "offset", "fill", "_group"}
+    group has about as many; pack each. Adds sequence_id, offset, fill, and certified: whether the group has as few
+    sequences as its own lower bound."""
+    drop = {"sequence_id", "offset", "fill", "certified", "_group"}
     base = pieces.drop(*[c for c in pieces.columns if c in drop])
-    schema = StructType(base.schema.fields + [StructField(c, LongType()) for c in ("sequence_id", "offset", "fill")])
+    schema = StructType(base.schema.fields + [StructField(c, LongType()) for c in ("sequence_id", "offset", "fill")]
+                        + [StructField("certified", BooleanType())])
     names = schema.names
 
     def run(table: pa.Table) -> pa.Table:
         lengths, group = table["length"].to_numpy(), table["_group"][0].as_py()
         bins, offsets, fill = best_fit(lengths, capacity)
-        new = [(turn << 56) | (group << 20) | bins, offsets, fill[bins]]
-        return pa.Table.from_arrays([*(table[c] for c in names[:-3]), *(pa.array(x) for x in new)], names=names)
+        certified = len(fill) == lower_bound(np.bincount(lengths, minlength=capacity + 1))
+        new = [(turn << 56) | (group << 20) | bins, offsets, fill[bins], np.full(len(lengths), certified)]
+        return pa.Table.from_arrays([*(table[c] for c in names[:-4]), *(pa.array(x) for x in new)], names=names)
 
     group = F.pmod(F.xxhash64("_number", F.lit(turn)), F.lit(groups))
     return base.withColumn("_group", group).groupBy("_group").applyInArrow(run, schema)
@@ -123,9 +146,11 @@ def histogram(pieces: DataFrame, capacity: int) -> np.ndarray:
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
     """Adds sequence_id and offset to pieces(length, ...), each of length 1 to capacity; every
     sequence is filled from 0 without gaps. Full pieces are sequences of their own. Rounds end when
-    the total meets the lower bound, when an exchange saves nothing, or after the given number. Rows
-    are packed each by itself, repeated ones too; an empty table gives an empty one. The pieces are
+    the total meets the lower bound, when the last exchange (see above) is done, or after the given number. Rows
+    are packed each by itself, repeated ones too; an empty table gives an empty one. Other columns are kept; those named
+    sequence_id, offset, fill or certified are replaced. The pieces are
     numbered and written once to the checkpoint folder, so that a row keeps its number."""
+    pieces = pieces.drop("sequence_id", "offset", "fill", "certified")
     pieces = materialize(pieces.withColumn("_number", F.monotonically_increasing_id()))
     full = pieces.where(F.col("length") == capacity)
     done = full.select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
@@ -135,21 +160,35 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds
     parts = [done]
     if n:
         now = materialize(_pack_groups(rest, -(-n // group), 0, capacity))
-        total = _sequences(now)
+        total, aside = _sequences(now), []
+        tight = F.col("fill") >= int(TIGHT * capacity)
         for turn in range(1, rounds):
             if total <= bound:
                 break
-            loose = now.where(F.col("fill") < int(TIGHT * capacity))
+            loose = now.where(~tight & ~F.col("certified"))
+            last = turn == rounds - 1 or loose.isEmpty()
+            if last:  # certified groups open too
+                for part in [now.where(~tight & F.col("certified")), *aside]:
+                    loose = loose.unionByName(part)
             size, before = loose.count(), _sequences(loose)
             if before <= 1:
                 break
             again = materialize(_pack_groups(loose, -(-size // group), turn, capacity))
             after = _sequences(again)
             if after >= before:
-                break
-            parts.append(now.where(F.col("fill") >= int(TIGHT * capacity)).drop("fill"))
+                if last:
+                    break
+                continue
+            parts.append(now.where(tight))
+            if last:
+                aside = []
+            else:
+                aside.append(now.where(~tight & F.col("certified")))
             now, total = again, total - before + after
-        parts.append(now.drop("fill"))
+            if last:
+                break
+        parts += [now, *aside]
+        parts = [parts[0], *(p.drop("fill", "certified") for p in parts[1:])]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -173,6 +212,5 @@ def sequences(packed: DataFrame) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """The packed pieces of docs with the checksum of their ids instead of the ids. The pieces are
     written once to the checkpoint folder, without ids."""
-    pieces = token_pieces(docs, tokenizer_path, capacity)
-    pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    pieces = token_pieces(docs, tokenizer_path, capacity, with_ids=False)
     return pack(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

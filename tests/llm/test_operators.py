@@ -225,6 +225,31 @@ def test_repacking_closes_gaps(spark):
     assert len(packed) == 600 and len({r["sequence_id"] for r in packed}) <= 1.05 * bound + 1
 
 
+def test_groups_are_certified(spark):
+    """Each group's flag says whether it meets its own bound, and certified sequences stay unless the last exchange
+    opens them."""
+    rng = np.random.default_rng(12)
+    lengths = [*([50] * 160), *rng.integers(34, 60, 240).tolist()]
+    pieces = spark.createDataFrame([(i, n, "clash") for i, n in enumerate(lengths)], "_number long, length long, fill string")
+    packed = packing._pack_groups(pieces, 8, 0, 100).collect()
+    groups = defaultdict(list)
+    for r in packed:
+        groups[r["sequence_id"] >> 20].append(r)
+    flags = set()
+    for rows in groups.values():
+        bound = packing.lower_bound(np.bincount([r["length"] for r in rows], minlength=101))
+        assert {r["certified"] for r in rows} == {len({r["sequence_id"] for r in rows}) == bound}
+        flags |= {r["certified"] for r in rows}
+    whole = packing.pack(pieces.drop("_number"), capacity=100, group=50)
+    assert whole.columns == ["length", "sequence_id", "offset"]
+    got = whole.collect()
+    fills = Counter()
+    for r in got:
+        fills[r["sequence_id"]] += r["length"]
+    assert len(got) == 400 and max(fills.values()) <= 100 and len(fills) <= len({r["sequence_id"] for r in packed})
+    assert len(fills) >= packing.lower_bound(np.bincount(lengths, minlength=101))
+
+
 def test_packing_deals_repeated_rows_to_all_groups(spark):
     rows = [(None, 0, 0, 30 + i % 7) for i in range(1000)]
     packed = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long"), capacity=100, group=50, rounds=1)

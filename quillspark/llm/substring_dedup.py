@@ -51,7 +51,7 @@ def chunks_of(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def chunks(docs: DataFrame) -> DataFrame:
     """All chunks of docs(doc_id, text): doc_id, text_hash, digest, start and length in characters. Rows
     without an id or text have none."""
-    schema = StructType([docs.schema["doc_id"], StructField("text_hash", IntegerType()), StructField("digest", LongType()),
+    schema = StructType([docs.schema["doc_id"], StructField("text_hash", LongType()), StructField("digest", LongType()),
                          StructField("start", IntegerType()), StructField("length", IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,12 +68,12 @@ def chunks(docs: DataFrame) -> DataFrame:
                      pa.array((lead[ends] - lead[starts]).astype(np.int32))], names=schema.names)
 
     named = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    return named.select("doc_id", F.hash("text").alias("text_hash"), "text").mapInArrow(run, schema)
+    return named.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
 
 def repeated_passages(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
     """Passages of at least `least` characters made of chunks that occur in two documents or more: doc_id,
-    start and end (characters, end exclusive), n_chars, n_chunks, first_doc_id (the smallest id that
+    text_hash (xxhash64 of the text, as an id may have several), start and end (characters, end exclusive), n_chars, n_chunks, first_doc_id (the smallest id that
     holds a chunk of it) and removed_chars, the characters of chunks that a smaller id holds too.
 
     The smallest id of a chunk keeps it. Repeats within one document alone are no concern of this
@@ -94,15 +94,18 @@ def repeated_passages(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
         F.count("*").alias("n_chunks"), F.min("low").alias("first_doc_id"),
         F.sum(F.when(F.col("low") < F.col("doc_id"), F.col("length")).otherwise(0)).alias("removed_chars"))
     return (passages.where(F.col("end") - F.col("start") >= least)
-            .select("doc_id", "start", "end", (F.col("end") - F.col("start")).alias("n_chars"), "n_chunks",
+            .select("doc_id", "text_hash", "start", "end", (F.col("end") - F.col("start")).alias("n_chars"), "n_chunks",
                     "first_doc_id", "removed_chars"))
 
 
 def remove_passages(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
-    """doc_id and text without the passages of which a smaller id holds every chunk."""
+    """doc_id and text without the passages of which a smaller id holds every chunk. Passages are cut from the text
+    they were found in, not from others of the same id; repeated rows are all cut, null ids and texts
+    come back as they are, other columns are left out whatever their names."""
     gone = repeated_passages(docs, least).where(F.col("removed_chars") == F.col("n_chars"))
-    gone = gone.groupBy(F.col("doc_id").alias("_d")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_gone"))
-    joined = docs.select("doc_id", "text").join(gone, F.col("doc_id") == F.col("_d"), "left")
+    gone = gone.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).agg(
+        F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_gone"))
+    joined = docs.select("doc_id", "text").join(gone, (F.col("doc_id") == F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left")
     zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("parts"))
     kept = F.aggregate("_gone", zero, lambda a, s: F.struct(
         F.greatest(a["pos"], s["end"]).alias("pos"),

@@ -277,6 +277,17 @@ def test_substring_dedup(spark, docs, empty):
     assert substring_dedup.repeated_passages(empty).count() == 0
 
 
+def test_passages_are_cut_from_their_own_text(spark):
+    """Texts under one id keep what only another of them repeats; clashing columns and null ids do no harm."""
+    shared, other = prose(31, 80), prose(32, 120)
+    rows = [(1, shared, 0, 0), (2, "intro words " + shared, 0, 0), (2, other, 0, 0), (2, other, 0, 0), (None, shared, 0, 0), (3, None, 0, 0)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, start long, text_hash long")
+    got = sorted(((r["doc_id"], r["text"]) for r in substring_dedup.remove_passages(table).collect()), key=str)
+    texts = [t for d, t in got if d == 2]
+    assert len(got) == 6 and texts.count(other) == 2 and (1, shared) in got and (None, shared) in got and (3, None) in got
+    assert len(min(texts, key=len)) < 200
+
+
 def test_pii(spark, empty):
     rows = [(1, "mail a.b@c.de, x_y@z.co.uk and a@b.c_d@e.f or no@where"), (2, "hosts 1.2.3.4 and 999.1.1.1, 1.2.3.4.5.6.7.8"),
             (3, "card 4111 1111 1111 1111 and 4111-1111-1111-1112"), (4, "call +1 (551) 555-0826 or +12 34"), (5, None), (6, ""),

@@ -30,7 +30,7 @@ CHUNK, FAN = 1 << 16, 16
 #: pair counts as frequent beyond that.
 MAX_PAIRS, FREQUENT = 2_000_000, 1000
 #: Bytes of rows that a task gathers before it hands them on.
-FLUSH = 1 << 23
+FLUSH = 1 << 21
 _NONE = np.zeros(0, np.int64)
 
 
@@ -54,10 +54,17 @@ class Open:
         return not len(self.a) and not len(self.b)
 
 
-def links(tokens: Open) -> tuple[np.ndarray, np.ndarray]:
+def ends_of(tokens: Open) -> tuple[np.ndarray, np.ndarray]:
+    """All ends of both sides, and the common ones, in order."""
+    both = np.concatenate([tokens.a_ends, tokens.b_ends])
+    both.sort(kind="stable")  # a merge of two runs
+    again = both[1:] == both[:-1]
+    return both[np.concatenate([[True], ~again])] if len(both) else both, both[1:][again]
+
+
+def links(tokens: Open, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of tokens that share bytes, of whole groups: each stretch between neighbouring ends of either
     side lies in one token of each, and a pair's common bytes are one stretch."""
-    ends = np.union1d(tokens.a_ends, tokens.b_ends)
     return tokens.a[np.searchsorted(tokens.a_ends, ends)], tokens.b[np.searchsorted(tokens.b_ends, ends)]
 
 
@@ -68,18 +75,22 @@ class Names:
     def __init__(self, size: int) -> None:
         self.size = size
         self.key_type = "<u4" if size <= 1 << 16 else "<u8"
-        self.strings = [f"{i}{mark}" for mark in ",|;" for i in range(size)]
+        strings = np.array([f"{i}{mark}".encode() for mark in ",|;" for i in range(size)])
+        self.letters = strings.view(np.uint8).reshape(len(strings), -1)
+        self.used = self.letters > 0
 
-    def groups(self, tokens: Open, common: np.ndarray) -> str:
+    def groups(self, tokens: Open, common: np.ndarray) -> bytes:
         """`a1,a2|b1;...;` of whole groups that end at the common ends."""
-        ga, gb = np.searchsorted(common, tokens.a_ends), np.searchsorted(common, tokens.b_ends)
-        before_a = np.searchsorted(gb, ga)            # b tokens in earlier groups
-        before_b = np.searchsorted(ga, gb, "right")   # a tokens up to this group
-        out = np.empty(len(ga) + len(gb), np.int64)
-        out[np.arange(len(ga)) + before_a] = tokens.a + self.size * np.isin(tokens.a_ends, common, assume_unique=True)
-        out[np.arange(len(gb)) + before_b] = tokens.b + 2 * self.size * np.isin(tokens.b_ends, common, assume_unique=True)
-        strings = self.strings
-        return "".join([strings[i] for i in out.tolist()])
+        last_a, last_b = np.searchsorted(tokens.a_ends, common), np.searchsorted(tokens.b_ends, common)
+        mark_a, mark_b = np.zeros(len(tokens.a), np.int64), np.zeros(len(tokens.b), np.int64)
+        mark_a[last_a], mark_b[last_b] = 1, 1
+        group_a, group_b = np.cumsum(mark_a) - mark_a, np.cumsum(mark_b) - mark_b
+        before_a = np.concatenate([[0], last_b + 1])[group_a]  # b tokens in earlier groups
+        before_b = (last_a + 1)[group_b] if len(last_a) else group_b  # a tokens up to this group
+        out = np.empty(len(tokens.a) + len(tokens.b), np.int64)
+        out[np.arange(len(tokens.a)) + before_a] = tokens.a + self.size * mark_a
+        out[np.arange(len(tokens.b)) + before_b] = tokens.b + 2 * self.size * mark_b
+        return self.letters[out][self.used[out]].tobytes()
 
 
 @lru_cache(1)
@@ -94,7 +105,7 @@ class Fragment:
     cut: bool            # whether there is a common end
     n_groups: int = 0    # closed ones
     n_links: int = 0     # in closed groups
-    groups: str = ""     # of closed groups
+    groups: bytes = b""  # of closed groups
     pairs: tuple = ()    # keys and counts of the links in closed groups
 
 
@@ -108,14 +119,14 @@ def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
 
 def whole(tokens: Open, names: Names) -> Fragment:
     """The fragment of tokens that begin and end with whole groups: nothing is open."""
-    common = np.intersect1d(tokens.a_ends, tokens.b_ends, assume_unique=True)
-    a, b = links(tokens)
+    ends, common = ends_of(tokens)
+    a, b = links(tokens, ends)
     return Fragment(Open(), Open(), True, len(common), len(a), names.groups(tokens, common), counted(a * names.size + b))
 
 
 def fragment(tokens: Open, names: Names) -> Fragment:
     """The fragment of the tokens that end within some range of bytes."""
-    common = np.intersect1d(tokens.a_ends, tokens.b_ends, assume_unique=True)
+    _, common = ends_of(tokens)
     if not len(common):
         return Fragment(tokens, Open(), False)
     first, last = ((int(np.searchsorted(tokens.a_ends, e, "right")), int(np.searchsorted(tokens.b_ends, e, "right")))
@@ -146,7 +157,7 @@ def join(parts: list[Fragment], names: Names) -> Fragment:
     keys = np.concatenate([p.pairs[0] for p in closed if len(p.pairs)] or [_NONE])
     counts = np.concatenate([p.pairs[1] for p in closed if len(p.pairs)] or [_NONE])
     return Fragment(lead, seam, True, sum(p.n_groups for p in closed), sum(p.n_links for p in closed),
-                    "".join(p.groups for p in closed), counted(keys, counts))
+                    b"".join(p.groups for p in closed), counted(keys, counts))
 
 
 def finished(part: Fragment, names: Names) -> Fragment:
@@ -160,25 +171,32 @@ class Encoder:
     """Both token sequences of a text, with their bytes."""
 
     def __init__(self, byte_path: str, piece_path: str) -> None:
-        self.a, self.b = ByteLevel(byte_path, plain=True), Pieces(piece_path)
-        self.a_sizes, self.b_sizes = (np.array([len(x) for x in t.bytes], np.int64) for t in (self.a, self.b))
-        self.names = names_of(max(len(self.a.bytes), len(self.b.bytes)))
+        self.sides = ByteLevel(byte_path, plain=True), Pieces(piece_path)
+        self.sizes = [np.array([len(x) for x in t.bytes], np.int64) for t in self.sides]
+        self.data = [np.frombuffer(b"".join(t.bytes), np.uint8) for t in self.sides]
+        self.starts = [np.cumsum(n) - n for n in self.sizes]
+        self.names = names_of(max(len(t.bytes) for t in self.sides))
 
     def tokens(self, text: str | None) -> Open | None:
         """None for texts without tokens: null, empty, or not given back by both."""
         if not text:
             return None
-        want = b" " + text.encode()
+        want = np.frombuffer(b" " + text.encode(), np.uint8)
         out = []
-        for side, ids in ((self.a, self.a.ids(" " + text)), (self.b, self.b.ids(text))):
-            ids = ids.astype(np.int64)
-            if b"".join([side.bytes[i] for i in ids.tolist()]) != want:
+        for side, given in enumerate((" " + text, text)):
+            ids = self.sides[side].ids(given).astype(np.int64)
+            sizes = self.sizes[side][ids]
+            ends = np.cumsum(sizes)
+            if ends[-1] != len(want):
                 return None
-            out += [ids, np.cumsum((self.a_sizes if side is self.a else self.b_sizes)[ids])]
+            # Byte k of the text is the byte of its token that stands as far in.
+            at = np.arange(len(want)) + np.repeat(self.starts[side][ids] - ends + sizes, sizes)
+            if not np.array_equal(self.data[side][at], want):
+                return None
+            out += [ids, ends]
         return Open(*out)
 
 
-
 def vocabulary(byte_path: str, piece_path: str) -> int:
     """Size of the larger vocabulary, by which pairs are keyed."""
     return Encoder(byte_path, piece_path).names.size
@@ -186,7 +204,7 @@ def vocabulary(byte_path: str, piece_path: str) -> int:
 
 _SIDES = ("a", "a_ends", "b", "b_ends")
 _DONE = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, keys binary, counts binary"
-_FRAGMENT = ("cut boolean, n_groups long, n_links long, groups string, keys binary, counts binary, "
+_FRAGMENT = ("cut boolean, n_groups long, n_links long, groups binary, keys binary, counts binary, "
              + ", ".join(f"{side}_{k} binary" for side in ("prefix", "suffix") for k in _SIDES))
 
 
@@ -206,7 +224,7 @@ def _read(row: tuple, names: Names) -> Fragment:
 def _done(n_a: int, n_b: int, part: Fragment, names: Names, keep: bool) -> tuple:
     keys, counts = part.pairs
     groups = part.groups[:-1]
-    return (n_a, n_b, part.n_groups, part.n_links, hashlib.sha256(groups.encode()).hexdigest(), groups if keep else None,
+    return (n_a, n_b, part.n_groups, part.n_links, hashlib.sha256(groups).hexdigest(), groups.decode() if keep else None,
             keys.astype(names.key_type).tobytes(), counts.astype("<u4").tobytes())
 
 

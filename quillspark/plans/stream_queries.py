@@ -60,6 +60,25 @@ def _(t):
     return quota_columns(written(t, J.quota_stream(replay(t, "events"), "user_id", "ts", "event_id", 24 * 3600, 5)))
 
 
+def shuffled(t: Tables, files: int = 3):
+    """All events, dealt over files by a hash and read one file a batch, then one row without a key far in the future that
+    moves the watermark past them."""
+    base = f"{scratch(t)[0]}-shuffled"
+    rows = t.events.select("event_id", "user_id", "ts")
+    rows.repartition(files, F.xxhash64("event_id")).write.parquet(f"{base}/rows")
+    end = t.spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(None).cast(rows.schema["user_id"].dataType).alias("user_id"),
+                                  F.lit("2100-01-01").cast("timestamp").alias("ts"))
+    end.coalesce(1).write.mode("append").parquet(f"{base}/rows")  # the latest file comes last
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/rows")
+
+
+@register("j03_quota_stream_shuffled", SQL_QUOTA)
+def _(t):
+    counts = J.quota_stream(shuffled(t), "user_id", "ts", "event_id", 24 * 3600, 5, delay="1000 days", reorder=True,
+                            bucket_seconds=24 * 3600)
+    return quota_columns(written(t, counts).where("user_id IS NOT NULL"))
+
+
 @register("j04_windowed_rates", """
 WITH w AS (SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS s, count(*) AS requests FROM events GROUP BY ALL)
 SELECT event_type, epoch_us(s) AS window_start_us, requests FROM w

@@ -87,22 +87,95 @@ class _Window(StatefulProcessor):
         pass
 
 
-def _windows(events: DataFrame, key: str, ts: str, id_col: str, seconds: int, closed: bool, delay: str) -> DataFrame:
+#: Rows of a piece of buffered state, and of a piece of output.
+PIECE = 4096
+
+
+class _OrderedWindow(StatefulProcessor):
+    """_Window for rows in any order. Rows wait in pieces of at most PIECE, by the time bucket they fall in, until the
+    watermark has passed the bucket; buckets are released in order, each sorted by itself. A row costs
+    one write and one read of state, and memory is bounded by a key's rows of one bucket, however many wait."""
+
+    def __init__(self, width: int, closed: bool, bucket: int, id_type: str) -> None:
+        self.width, self.closed, self.bucket, self.id_type = width, closed, bucket, id_type
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", "start bigint, n bigint")
+        self.counts = handle.getMapState("buckets", "b bigint", "n int")
+        self.pieces = handle.getMapState("pieces", "b bigint, i int", f"t array<bigint>, id array<{self.id_type}>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            for b, same in part.groupby(part["t"] // self.bucket):
+                b = int(b)
+                held = self.counts.getValue((b,))
+                n = held[0] if held else 0
+                if not n:
+                    self.handle.registerTimer((b + 1) * self.bucket // 1000)
+                for at in range(0, len(same), PIECE):
+                    piece = same.iloc[at:at + PIECE]
+                    self.pieces.updateValue((b, n), (piece["t"].tolist(), piece["id"].tolist()))
+                    n += 1
+                self.counts.updateValue((b,), (n,))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        waiting = sorted(b for (b,) in self.counts.keys())
+        held = self.window.get() if self.window.exists() else None
+        start, n = (held[0], held[1]) if held is not None else (None, 0)
+        opened = start
+        for b in waiting:
+            if (b + 1) * self.bucket > passed:
+                break
+            times, ids = [], []
+            for i in range(self.counts.getValue((b,))[0]):
+                piece = self.pieces.getValue((b, i))
+                times += piece[0]
+                ids += piece[1]
+                self.pieces.removeKey((b, i))
+            self.counts.removeKey((b,))
+            rows = sorted(zip(times, ids))
+            for at in range(0, len(rows), PIECE):
+                starts, counts, part = [], [], rows[at:at + PIECE]
+                for t, _ in part:
+                    gone = start is None or (t - start > self.width if self.closed else t - start >= self.width)
+                    start, n = (t, 1) if gone else (start, n + 1)
+                    starts.append(start)
+                    counts.append(n)
+                yield pd.DataFrame({"id": [i for _, i in part], "key": [key[0]] * len(part), "t": [t for t, _ in part],
+                                    "start": starts, "n": counts})
+        if start is not None and start + self.width < passed and not any((b + 1) * self.bucket > passed for b in waiting):
+            self.window.clear()  # the window has run out and nothing waits
+        elif start is not None:
+            self.window.update((start, n))
+            if start != opened:
+                self.handle.registerTimer((start + self.width) // 1000 + 1)
+
+    def close(self) -> None:
+        pass
+
+
+def _windows(events: DataFrame, key: str, ts: str, id_col: str, seconds: int, closed: bool, delay: str,
+             reorder: bool = False, bucket_seconds: int = 60) -> DataFrame:
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     at = F.col(ts).cast("timestamp")
     rows = events.select(at.alias("ts"), F.col(id_col).alias("id"), F.col(key).alias("key"),
                          F.unix_micros(at).alias("t")).withWatermark("ts", delay)
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("id", "key")}
     return rows.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=_Window(seconds * 1_000_000, closed),
+        statefulProcessor=(_OrderedWindow(seconds * 1_000_000, closed, bucket_seconds * 1_000_000, kinds["id"]) if reorder
+                           else _Window(seconds * 1_000_000, closed)),
         outputStructType=f"id {kinds['id']}, key {kinds['key']}, t bigint, start bigint, n bigint",
         outputMode="append", timeMode="EventTime")
 
 
 def quota_stream(events: DataFrame, key: str, ts: str, id_col: str, window_seconds: int = 24 * 3600, limit: int = 50,
-                 delay: str = "1 hour") -> DataFrame:
-    """anchored_quota over a stream that arrives in time order per key."""
-    counted = _windows(events, key, ts, id_col, window_seconds, True, delay)
+                 delay: str = "1 hour", reorder: bool = False, bucket_seconds: int = 60) -> DataFrame:
+    """anchored_quota over a stream. As it is, rows are counted as they arrive, which must be in order of time per key;
+    reorder takes rows up to `delay` late in any order and gives each when the watermark has passed it."""
+    counted = _windows(events, key, ts, id_col, window_seconds, True, delay, reorder, bucket_seconds)
     return counted.select(F.col("id").alias(id_col), F.col("key").alias(key), F.timestamp_micros("t").alias(ts),
                           F.col("n").alias("requests"), F.timestamp_micros("start").alias("window_start"),
                           F.greatest(F.lit(0), F.lit(limit) - F.col("n")).alias("remaining"),
@@ -110,10 +183,10 @@ def quota_stream(events: DataFrame, key: str, ts: str, id_col: str, window_secon
 
 
 def cache_stream(queries: DataFrame, key: str, ts: str, id_col: str, ttl_seconds: int = 24 * 3600,
-                 delay: str = "1 hour") -> DataFrame:
+                 delay: str = "1 hour", reorder: bool = False, bucket_seconds: int = 60) -> DataFrame:
     """Whether an answer of the same hash was stored less than the time to live before; a miss stores
-    one. At exactly the time to live the entry is gone."""
-    counted = _windows(queries, key, ts, id_col, ttl_seconds, False, delay)
+    one. At exactly the time to live the entry is gone. reorder: see quota_stream."""
+    counted = _windows(queries, key, ts, id_col, ttl_seconds, False, delay, reorder, bucket_seconds)
     return counted.select(F.col("id").alias(id_col), F.col("key").alias(key),
                           F.when(F.col("n") == 1, "miss").otherwise("exact").alias("hit_kind"),
                           F.timestamp_micros("start").alias("stored_at"))

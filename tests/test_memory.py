@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillspark.operators import audit as A, concepts as G, listing as L, mining as N, quota as Q, review as V
 from quillspark.operators import ingest as I
 from quillspark.sources import documents as D, profiles as P
+from quillspark.streaming import jobs as J
 
 
 def unscoped():
@@ -231,9 +232,24 @@ def test_profile_registry(spark, tmp_path):
     assert {r["warning"] for r in reg.warnings.collect()} == {"profile_file_unreadable:broken.json", "profile_file_invalid_structure:shape.json"}
 
 
+def test_streams_take_rows_in_any_order(spark, tmp_path):
+    """Shuffled arrival over several batches gives the batch result; one key holds half of all rows."""
+    rng = np.random.default_rng(2)
+    rows = [(i, 1 if i % 2 else int(rng.integers(2, 6)), int(t)) for i, t in enumerate(rng.integers(0, 40 * 3600, 600))]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, s long").select("event_id", "user_id", F.timestamp_seconds("s").alias("ts"))
+    events.orderBy(F.rand(3)).repartition(2).write.parquet(f"{tmp_path}/in")
+    spark.createDataFrame([(-1, 0, 2_000_000_000)], "event_id long, user_id long, s long").select(
+        "event_id", "user_id", F.timestamp_seconds("s").alias("ts")).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    counts = J.quota_stream(stream, "user_id", "ts", "event_id", 7200, 5, delay="30 days", reorder=True, bucket_seconds=600)
+    J.write_stream(counts, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    got = {r["event_id"]: (r["requests"], r["allowed"]) for r in spark.read.parquet(f"{tmp_path}/out").collect() if r["event_id"] >= 0}
+    want = Q.anchored_quota(events, "user_id", "ts", "event_id", 7200, 5).collect()
+    assert got == {r["event_id"]: (r["requests"], r["allowed"]) for r in want} and len(got) == 600
+
+
 def test_streams_over_several_batches(spark, tmp_path):
     """Two files, one per micro-batch: duplicates of the first are set aside in the second."""
-    from quillspark.streaming import jobs as J
     source = str(tmp_path / "in")
     words = " ".join(["word"] * 60)
     for n, rows in enumerate([[(1, "u", words)], [(2, "u", words), (3, "u", "tiny"), (4, "v", words)]]):

@@ -101,7 +101,8 @@ WITH {sql_ngrams('documents')}
 SELECT doc_id AS document_id, term AS term_normalized, 1::BIGINT AS frequency, round(least(0.6, 0.2 + n * 0.05), 6) AS confidence FROM ngrams""")
 def _(t):
     out, checkpoint = scratch(t)
-    done = finished(t, J.stream_candidates(replay(t, "documents").select("doc_id", "text"), out, checkpoint, as_of()), out)
+    J.stream_candidates(replay(t, "documents").select("doc_id", "text"), out, checkpoint, as_of()).awaitTermination()
+    done = J.candidate_table(out, "bigint").read(t.spark)
     return done.select("document_id", "term_normalized", F.col("frequency").cast("bigint"),
                        F.round("confidence", 6).alias("confidence"))
 

@@ -1,7 +1,7 @@
 """Incremental versions of the batch operators as Structured Streaming jobs.
 
-Sinks that keep tables write one folder per micro-batch (batch=<id>, overwritten on a retry), so
-replaying a batch leaves the same rows. Output and checkpoint folders are given by the caller and
+Sinks that keep tables write one folder per micro-batch (batch=<id>, overwritten on a retry) or buckets of a
+version (sources.buckets), so replaying a batch leaves the same rows. Output and checkpoint folders are given by the caller and
 must be shared storage on a cluster.
 """
 
@@ -13,27 +13,34 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..operators import mining as N, retrieval as R
+from ..operators import cache as K, mining as N, retrieval as R
+from ..operators.ingest import file_hash
 from ..plans.answer import ingest
+from ..session import materialize
+from ..sources.buckets import BucketedTable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def earlier(spark: SparkSession, root: str, batch_id: int) -> DataFrame | None:
-    """Rows of the batches before this one, or None at the first."""
-    if batch_id == 0:
-        return None
-    return spark.read.option("basePath", root).parquet(root).where(F.col("batch") < batch_id).drop("batch")
+def known_hashes(root: str, user_type: str, id_type: str) -> BucketedTable:
+    """Which content a user has sent before: keys alone, so a batch never reads earlier texts."""
+    return BucketedTable(f"{root}/known", ["user_id", "file_hash"], f"doc_id {id_type}, user_id {user_type}, file_hash string")
 
 
 def stream_ingest(documents: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:
     """documents(doc_id, user_id, text): writes root/documents and root/chunks. Duplicates of this
-    or any earlier batch (same user and content) are set aside."""
+    or any earlier batch (same user and content) are set aside; to find them, a batch looks into the buckets
+    of its own hashes in root/known."""
+    kinds = {c: documents.schema[c].dataType.simpleString() for c in ("doc_id", "user_id")}
+    known = known_hashes(root, kinds["user_id"], kinds["doc_id"])
+
     def run(batch: DataFrame, batch_id: int) -> None:
-        known = earlier(batch.sparkSession, f"{root}/documents", batch_id)
-        out = ingest(batch, None if known is None else known.select("doc_id", "user_id", "file_hash"))
+        hashes = batch.select("doc_id", "user_id", file_hash(F.encode("text", "UTF-8")).alias("file_hash"))
+        out = ingest(batch, known.touched(hashes, batch_id))
         for name in ("documents", "chunks"):
             out[name].write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
+        stored = batch.sparkSession.read.parquet(f"{root}/documents/batch={batch_id}").select("doc_id", "user_id", "file_hash")
+        known.merge(stored, batch_id, lambda old, new: old.unionByName(new))
     return (documents.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
@@ -192,21 +199,38 @@ def cache_stream(queries: DataFrame, key: str, ts: str, id_col: str, ttl_seconds
                           F.timestamp_micros("start").alias("stored_at"))
 
 
-def stream_candidates(documents: DataFrame, root: str, checkpoint: str, as_of, **trigger) -> StreamingQuery:
-    """documents(doc_id, text): keeps a snapshot of term candidates, one version per batch."""
+def candidate_table(root: str, id_type: str, buckets: int = 256) -> BucketedTable:
+    return BucketedTable(root, ["term_normalized", "document_id"], N.EMPTY_CANDIDATES.format(id=id_type), buckets)
+
+
+def stream_candidates(documents: DataFrame, root: str, checkpoint: str, as_of, buckets: int = 256, **trigger) -> StreamingQuery:
+    """documents(doc_id, text): keeps term candidates in the bucketed table candidate_table(root, ..), a version a
+    batch; a batch rewrites the buckets of its own terms and documents."""
+    candidates = candidate_table(root, documents.schema["doc_id"].dataType.simpleString(), buckets)
+
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = N.mine_candidates(batch)
-        kind = batch.schema["doc_id"].dataType.simpleString()
-        if batch_id == 0:
-            old = spark.createDataFrame([], N.EMPTY_CANDIDATES.format(id=kind))
-        else:
-            old = spark.read.parquet(f"{root}/batch={batch_id - 1}")
-        N.upsert_candidates(old, new, as_of).write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+        new = materialize(N.mine_candidates(batch))
+        candidates.merge(new, batch_id, lambda old, rows: N.upsert_candidates(old, rows, as_of), ["term_normalized", "doc_id"])
     return (documents.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
+def cache_table(root: str, buckets: int = 256) -> BucketedTable:
+    return BucketedTable(root, ["hash"], "id string, hash string, text string, emb array<float>, answer string, confidence double, "
+                         "hit_count int, created_at timestamp, expires_at timestamp", buckets)
+
+
+def stream_cache_entries(entries: DataFrame, root: str, checkpoint: str, as_of, buckets: int = 256, **trigger) -> StreamingQuery:
+    """upsert_cache over a stream of entries(hash, text, emb, answer, confidence, verified, seq), kept in the bucketed
+    table cache_table(root)."""
+    cache = cache_table(root, buckets)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        cache.merge(batch, batch_id, lambda old, rows: K.upsert_cache(old, rows, as_of))
+    return (entries.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
 def stream_retrieval(queries: DataFrame, chunks: DataFrame, documents: DataFrame, root: str, checkpoint: str,
                      trigger: dict | None = None, **search) -> StreamingQuery:
     """Query stream (qid, text, emb) against a snapshot of chunks; hits are written per batch."""

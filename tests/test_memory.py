@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import audit as A, concepts as G, listing as L, mining as N, quota as Q, review as V
+from quillspark.operators import audit as A, cache as K, concepts as G, listing as L, mining as N, quota as Q, review as V
 from quillspark.operators import ingest as I
 from quillspark.sources import documents as D, profiles as P
+from quillspark.sources.buckets import BucketedTable
 from quillspark.streaming import jobs as J
 
 
@@ -232,6 +233,47 @@ def test_profile_registry(spark, tmp_path):
     assert {r["warning"] for r in reg.warnings.collect()} == {"profile_file_unreadable:broken.json", "profile_file_invalid_structure:shape.json"}
 
 
+def test_batches_rewrite_only_the_buckets_they_touch(spark, tmp_path):
+    """Twenty small batches on a large table: what each reads and writes follows the batch."""
+    table = BucketedTable(str(tmp_path), ["k"], "k long, n long", 64)
+
+    def add(old, new):
+        return old.unionByName(new).groupBy("k").agg(F.sum("n").alias("n"))
+
+    def size(version):
+        return sum(f.stat().st_size for f in (tmp_path / "data" / str(version)).rglob("*.parquet"))
+
+    table.merge(spark.range(60_000).select(F.col("id").alias("k"), F.lit(1).cast("long").alias("n")), 0, add)
+    rng, want = random.Random(4), {k: 1 for k in range(60_000)}
+    for version in range(1, 21):
+        keys = [rng.randrange(60_500) for _ in range(3)] + [None]
+        batch = spark.createDataFrame([(k, version) for k in keys], "k long, n long")
+        old = table.touched(batch, version)
+        assert len({f.split("bucket=")[1].split("/")[0] for f in old.inputFiles()}) <= 4
+        table.merge(batch, version, add)
+        if version == 7:
+            table.merge(batch, version, add)  # a batch that is run again
+        for k in keys:
+            want[k] = want.get(k, 0) + version
+        assert size(version) < 0.2 * size(0)
+    assert {r["k"]: r["n"] for r in table.read(spark).collect()} == want
+    assert table.read(spark, 0).count() == 60_000 and table.latest(spark) == 20
+    table.merge(batch, 21, lambda old, new: old.join(new.select("k"), "k", "left_anti").where("k IS NOT NULL"))
+    assert table.read(spark).where(F.col("k").isin([k for k in keys if k is not None])).count() == 0
+
+
+def test_cache_entries_arrive_as_a_stream(spark, tmp_path):
+    """The bucketed cache after three batches is what one snapshot after another is."""
+    schema = "hash string, text string, emb array<float>, answer string, confidence double, verified boolean, seq long"
+    at, cache, table = F.lit("2024-02-01").cast("timestamp"), None, J.cache_table(f"{tmp_path}/cache", 16)
+    for n in range(3):
+        rows = [(f"h{i}", f"q{i}", [1.0], f"a{n}", .9, i != 2, n) for i in range(n, n + 4)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        J.stream_cache_entries(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/cache", f"{tmp_path}/check", at, 16).awaitTermination()
+        cache = K.upsert_cache(spark.createDataFrame([], table.schema) if cache is None else cache, spark.createDataFrame(rows, schema), at)
+    assert sorted(map(str, table.read(spark).collect())) == sorted(map(str, cache.select(*table.read(spark).columns).collect()))
+
+
 def test_streams_take_rows_in_any_order(spark, tmp_path):
     """Shuffled arrival over several batches gives the batch result; one key holds half of all rows."""
     rng = np.random.default_rng(2)

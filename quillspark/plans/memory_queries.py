@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import audit as A, concepts as G, listing as L, mining as N, quota as Q, review as V
+from ..operators import audit as A, concepts as G, listing as L, mining as N, quota as Q, review as V, temporal as TJ
 from ..functions import geometry as B
 from .catalog import AS_OF, SQL_CORPUS, Tables, as_of, register, sql_term
 
@@ -173,6 +173,41 @@ def _(t):
     return spans.select("o_orderkey", G.valid_at("o_orderdate", "u", F.lit("1998-01-01").cast("timestamp")).alias("valid"))
 
 
+SQL_TERMS_OF_ORDERS = """
+v AS (SELECT o_custkey % 150 AS user_id, o_orderkey, TIMESTAMP '2024-01-01' + to_seconds(o_orderkey * 7919 % 2592000) AS since,
+             CASE WHEN o_orderkey % 40 <> 0 THEN TIMESTAMP '2024-01-01' + to_seconds(o_orderkey * 7919 % 2592000)
+                                            + to_seconds((o_orderkey % 97 + 1) * (o_orderkey % 5 + 1) * 600) END AS until FROM orders)"""
+
+
+def order_versions(t: Tables):
+    """Orders as versions of their user's terms, dealt over the month of the events; some have no end."""
+    since = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("o_orderkey") * 7919 % 2_592_000)
+    hold = (F.col("o_orderkey") % 97 + 1) * (F.col("o_orderkey") % 5 + 1) * 600
+    until = F.when(F.col("o_orderkey") % 40 != 0, F.timestamp_seconds(F.unix_seconds(since) + hold))
+    return t.orders.select((F.col("o_custkey") % 150).alias("user_id"), "o_orderkey", since.alias("since"), until.alias("until"))
+
+
+@register("g04_as_of_join", f"""
+WITH {SQL_TERMS_OF_ORDERS}
+SELECT event_id, user_id, o_orderkey, epoch_us(since) AS since_us FROM (
+  SELECT e.event_id, e.user_id, v.o_orderkey, v.since,
+         row_number() OVER (PARTITION BY e.event_id ORDER BY v.since DESC, v.o_orderkey DESC) AS rn
+  FROM events e LEFT JOIN v ON v.user_id = e.user_id AND v.since <= e.ts) WHERE rn = 1""")
+def _(t):
+    got = TJ.as_of_join(t.events.select("event_id", "user_id", "ts"), order_versions(t), "user_id", "ts", "since", "o_orderkey",
+                        ["o_orderkey", "since"])
+    return got.select("event_id", "user_id", "o_orderkey", F.unix_micros("since").alias("since_us"))
+
+
+@register("g02_interval_join", f"""
+WITH {SQL_TERMS_OF_ORDERS}
+SELECT e.event_id, e.user_id, v.o_orderkey FROM events e JOIN v ON v.user_id = e.user_id AND v.since <= e.ts
+AND (v.until IS NULL OR e.ts < v.until)""")
+def _(t):
+    return TJ.interval_join(t.events.select("event_id", "user_id", "ts"), order_versions(t), "user_id", "ts", "since", "until").select(
+        "event_id", "user_id", "o_orderkey")
+
+
 @register("g03_resolve_aliases", f"""
 WITH {SQL_GRAPH} SELECT qid, alias_id, concept_key, round(alias_confidence, 6) AS alias_confidence, criticality FROM matches""")
 def _(t):

@@ -23,6 +23,19 @@ def distinct_terms(text: Column | str, stop_words: list[str] | None = None) -> C
     return F.array_except(terms, F.array(*[F.lit(w) for w in stop_words])) if stop_words else terms
 
 
+def run_starts(ordered: str, key: str | None = None) -> Column:
+    """Where runs of equal elements (of a field of theirs) begin in a sorted array column."""
+    def of(i: Column) -> Column:
+        return F.get(F.col(ordered), i)[key] if key else F.get(F.col(ordered), i)
+    every = F.when(F.size(ordered) > 0, F.sequence(F.lit(0), F.size(ordered) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(every, lambda i: (i == 0) | (of(i) != of(i - 1)))
+
+
+def run_lengths(ordered: str, starts: str, each) -> Column:
+    """each(start, length) of every run."""
+    return F.transform(starts, lambda b, j: each(b, F.coalesce(F.get(F.col(starts), j + 1), F.size(ordered)) - b))
+
+
 def match_all(chunk_terms: Column | str, query_terms: Column | str) -> Column:
     """AND match; an empty query matches nothing."""
     return (F.size(_c(query_terms)) > 0) & (F.size(F.array_except(_c(query_terms), _c(chunk_terms))) == 0)

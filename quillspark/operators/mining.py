@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.terms import run_lengths, run_starts
 from ..functions.text import normalize_term, trim_unicode
 
 # Phrasings that introduce a term (one per pattern), case-insensitive.
@@ -33,19 +34,21 @@ def mine_patterns(docs: DataFrame) -> DataFrame:
 
 def mine_ngrams(docs: DataFrame, min_count: int = MIN_COUNT, cap: int = CAP) -> DataFrame:
     """Words and word pairs used at least min_count times in a document; the first `cap` of them
-    in order of first use. Pairs are built inside the row, so documents move once, as text."""
+    in order of first use; a row is a document. All is counted inside the row, so nothing is exchanged."""
     words = F.filter(F.split(normalize_term("text"), " "),
                      lambda w: (F.length(w) >= MIN_WORD) & (F.length(w) <= MAX_WORD))
     grams = F.flatten(F.transform("_words", lambda w, i: F.array(
         F.struct(w.alias("term"), (i * 2).alias("at")),
         F.struct(F.concat(w, F.lit(" "), F.try_element_at("_words", (i + 2).cast("int"))).alias("term"),
                  (i * 2 + 1).alias("at")))))
-    counted = (docs.select("doc_id", "text").repartition("doc_id").withColumn("_words", words)
-               .select("doc_id", F.explode(grams).alias("g")).where(F.col("g.term").isNotNull())
-               .groupBy("doc_id", F.col("g.term").alias("term"))
-               .agg(F.count("*").alias("n"), F.min("g.at").alias("at")).where(F.col("n") >= min_count))
-    order = W.partitionBy("doc_id").orderBy("at")
-    return (counted.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= cap)
+    ordered = (docs.select("doc_id", words.alias("_words"))
+               .select("doc_id", F.array_sort(F.filter(grams, lambda g: g["term"].isNotNull())).alias("_s"))
+               .withColumn("_b", run_starts("_s", "term")))
+    # Sorted by term and place, so that a run begins with the term's first use.
+    counted = run_lengths("_s", "_b", lambda b, n: F.struct(
+        F.get(F.col("_s"), b)["at"].alias("at"), F.get(F.col("_s"), b)["term"].alias("term"), n.cast("long").alias("n")))
+    first = F.slice(F.array_sort(F.filter(counted, lambda g: g["n"] >= min_count)), 1, cap)
+    return (ordered.select("doc_id", F.explode(first).alias("g")).select("doc_id", "g.*")
             .select("doc_id", F.col("term").alias("term_original"), F.col("term").alias("term_normalized"),
                     F.lit("").alias("context"),
                     F.least(F.lit(0.6), F.lit(0.2) + F.col("n") * F.lit(0.05)).alias("confidence"),

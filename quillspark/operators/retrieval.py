@@ -47,29 +47,43 @@ def wanted_terms(queries: DataFrame) -> DataFrame:
     return queries.select(F.explode(T.distinct_terms("text")).alias("term")).distinct()
 
 
+#: Terms of a query batch that may be broadcast.
+MAX_BROADCAST_TERMS = 500_000
+
+
+def _asked_for(rows: DataFrame, queries: DataFrame | None) -> DataFrame:
+    """The rows whose term some query has. The terms are broadcast if a count says that they are few; else rows of
+    (term, count) are exchanged, never texts."""
+    if queries is None:
+        return rows
+    wanted = wanted_terms(queries)
+    few = wanted.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS
+    return rows.join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
+
+
 def term_table(chunks: DataFrame, stop_words: list[str] | None = None, queries: DataFrame | None = None) -> DataFrame:
-    """chunks(chunk_id, content) -> chunk_id, length, term, tf, positions. Text moves once, hashed
-    by chunk; the aggregate then needs no further exchange. With queries(text) only their terms count."""
-    spread = chunks.select("chunk_id", "content").repartition("chunk_id")
-    toks = spread.withColumn("_t", T.tokens("content"))
-    rows = toks.select("chunk_id", F.size("_t").alias("length"), F.posexplode("_t").alias("pos", "term"))
+    """chunks(chunk_id, content), a row a chunk -> chunk_id, length, term, tf, positions. Terms are counted where their
+    text stands, so no text is exchanged. With queries(text) only their terms count."""
+    toks = chunks.select("chunk_id", T.tokens("content").alias("_t"))
+    placed = toks.select("chunk_id", F.size("_t").alias("length"), F.array_sort(
+        F.transform("_t", lambda w, i: F.struct(w.alias("term"), (i + 1).alias("pos")))).alias("_s"))
+    cut = placed.withColumn("_b", T.run_starts("_s", "term"))
+    counted = T.run_lengths("_s", "_b", lambda b, n: F.struct(
+        F.get(F.col("_s"), b)["term"].alias("term"), n.cast("long").alias("tf"), F.slice("_s", b + 1, n)["pos"].alias("positions")))
+    rows = cut.select("chunk_id", "length", F.explode(counted).alias("_r")).select("chunk_id", "length", "_r.*")
     if stop_words:
         rows = rows.where(~F.col("term").isin(stop_words))
-    if queries is not None:
-        rows = rows.join(wanted_terms(queries), "term", "left_semi")
-    return (rows.groupBy("chunk_id", "length", "term")
-            .agg(F.count("*").alias("tf"), F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions")))
+    return _asked_for(rows, queries)
 
 
 def term_counts(chunks: DataFrame, queries: DataFrame | None = None) -> DataFrame:
-    """term_table without positions, so counting happens before anything is kept per term. With
-    queries(text) only their terms are counted, which skips most of the aggregate."""
-    spread = chunks.select("chunk_id", "content").repartition("chunk_id")
-    toks = spread.withColumn("_t", T.tokens("content"))
-    rows = toks.select("chunk_id", F.size("_t").alias("length"), F.explode("_t").alias("term"))
-    if queries is not None:
-        rows = rows.join(wanted_terms(queries), "term", "left_semi")
-    return rows.groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
+    """term_table without positions."""
+    toks = chunks.select("chunk_id", T.tokens("content").alias("_t"))
+    cut = (toks.select("chunk_id", F.size("_t").alias("length"), F.sort_array("_t").alias("_s"))
+           .withColumn("_b", T.run_starts("_s")))
+    counted = T.run_lengths("_s", "_b", lambda b, n: F.struct(F.get(F.col("_s"), b).alias("term"), n.cast("long").alias("tf")))
+    rows = cut.select("chunk_id", "length", F.explode(counted).alias("_r")).select("chunk_id", "length", "_r.*")
+    return _asked_for(rows, queries)
 
 
 def query_terms(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -98,8 +112,9 @@ def text_match(queries: DataFrame, terms: DataFrame) -> DataFrame:
     """AND match of queries(qid, text) against term_counts(): qid, chunk_id, text_score. A frequent term
     is looked up only in the chunks that hold its query's rarest one."""
     ids, sets = query_terms(queries)
-    # The filter, always true, keeps the count in all three uses, so that Spark runs the aggregate once.
-    terms = terms.where(F.col("tf") > 0)
+    # An exchange of the counted terms that all three uses share (the filter, always true, keeps the count in each), so
+    # that Spark reads the texts once.
+    terms = terms.groupBy("chunk_id", "length", "term").agg(F.sum("tf").alias("tf")).where(F.col("tf") > 0)
     pairs = rarest_term_pairs(sets, terms)
     hits = (pairs.join(sets, "qkey").join(terms.select("chunk_id", "length", "term", "tf"), ["chunk_id", "term"])
             .groupBy("chunk_id", "qkey")
@@ -114,7 +129,8 @@ def cover_density(queries: DataFrame, terms: DataFrame) -> DataFrame:
     """Minimal covers of all query terms, each worth min(1, 16/width): qid, chunk_id, cover_score.
     terms is term_table(). Positions meet per (chunk, query), which one chunk's length bounds."""
     ids, sets = query_terms(queries)
-    terms = terms.where(F.col("tf") > 0)
+    terms = (terms.groupBy("chunk_id", "length", "term").agg(F.sum("tf").alias("tf"), F.first("positions").alias("positions"))
+             .where(F.col("tf") > 0))
     grouped = (rarest_term_pairs(sets, terms).join(sets, "qkey")
                .join(terms.select("chunk_id", "term", "positions"), ["chunk_id", "term"]).groupBy("chunk_id", "qkey")
                .agg(F.max("n_terms").alias("_n"), F.collect_list("positions").alias("_lists"))

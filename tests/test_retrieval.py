@@ -287,3 +287,21 @@ def test_cache_edges(spark):
     kept, removed = K.purge(cache, at)
     assert kept.count() == 2 and removed.first()["removed"] == 0
     assert K.cache_stats(cache.where("false").withColumns({"hit_count": F.lit(1), "confidence": F.lit(.5)})).first()[:] == (0, 0, 0.0)
+
+
+def test_terms_are_counted_without_moving_texts(spark):
+    """No exchange below the counts, and the counts of a plain loop."""
+    from quillspark.operators.mining import mine_ngrams
+    texts = {1: "One two, two; THREE two ü", 2: "", 3: None, 4: "x " * 50 + "y"}
+    chunks = spark.createDataFrame(list(texts.items()), "chunk_id long, content string")
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+    for df in (R.term_counts(chunks), R.term_table(chunks), mine_ngrams(chunks.select(F.col("chunk_id").alias("doc_id"), F.col("content").alias("text")))):
+        assert "Exchange" not in plan(df)
+    got = {(r["chunk_id"], r["term"]): (r["length"], r["tf"], r["positions"]) for r in R.term_table(chunks).collect()}
+    assert got == {(1, "one"): (6, 1, [1]), (1, "two"): (6, 3, [2, 3, 5]), (1, "three"): (6, 1, [4]), (1, "ü"): (6, 1, [6]),
+                   (4, "x"): (51, 50, list(range(1, 51))), (4, "y"): (51, 1, [51])}
+    assert {(r["chunk_id"], r["term"]): r["tf"] for r in R.term_counts(chunks).collect()} == {k: v[1] for k, v in got.items()}
+    asked = spark.createDataFrame([(1, "two x")], "qid long, text string")
+    assert {r["term"] for r in R.term_counts(chunks, asked).collect()} == {"two", "x"}

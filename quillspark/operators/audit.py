@@ -86,6 +86,27 @@ def latency_summary(requests: DataFrame, keys: list[str], p: float = 0.95, max_e
                          F.round(errors, 4).alias("error_rate"), "percentile", passed.alias("passed"))
 
 
+#: Size of a latency sketch, and the rank error that it keeps, within a share of all requests, with 99 % certainty.
+SKETCH_SIZE, SKETCH_ERROR = 800, 0.01
+
+
+def hourly_sketches(requests: DataFrame, keys: list[str], ts: str, value: str = "duration", size: int = SKETCH_SIZE) -> DataFrame:
+    """keys, hour, n and a quantile sketch of a few kilobytes for each hour: what is kept of a request log, next to which
+    any range of hours can be summed up without it. Null values and times count nowhere."""
+    rows = requests.where(F.col(value).isNotNull() & F.col(ts).isNotNull())
+    return rows.groupBy(*keys, F.date_trunc("hour", F.col(ts)).alias("hour")).agg(
+        F.count("*").alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), size).alias("sketch"))
+
+
+def merged_percentile(sketches: DataFrame, keys: list[str], p: float = 0.95) -> DataFrame:
+    """keys, hours, requests, percentile and the merged sketch over the given hours, by way of days, so that no task
+    takes all hours of a key. The rank of the percentile is p within SKETCH_ERROR; latency_summary is exact."""
+    days = sketches.groupBy(*keys, F.date_trunc("day", F.col("hour")).alias("_day")).agg(
+        F.count("*").alias("hours"), F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    whole = days.groupBy(*keys).agg(F.sum("hours").alias("hours"), F.sum("n").alias("requests"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    return whole.withColumn("percentile", F.kll_sketch_get_quantile_double("sketch", F.lit(p)))
+
+
 def status_histogram(requests: DataFrame, status: str = "status") -> DataFrame:
     return requests.groupBy(status).agg(F.count("*").alias("requests"))
 

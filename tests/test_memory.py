@@ -184,6 +184,21 @@ def test_anchored_quota_matches_a_fold(spark):
     assert [(int(r["window_start"].timestamp()), r["requests"]) for r in rows] == want
 
 
+def test_latency_sketches_merge(spark):
+    """Any range of hours, merged, keeps the rank error against the exact percentile; nulls count nowhere."""
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, "b").otherwise("a").alias("k"), F.timestamp_seconds(F.col("id") * 7).alias("ts"),
+        F.when(F.col("id") % 50 != 0, F.pow(F.rand(5), F.lit(3.0)) * 1000).alias("duration")).cache()
+    sketches = A.hourly_sketches(rows, ["k"], "ts")
+    for hours in (sketches, sketches.where("hour >= timestamp_seconds(86400)")):
+        for r in A.merged_percentile(hours, ["k"]).collect():
+            inside = rows.where((F.col("k") == r["k"]) & F.col("duration").isNotNull())
+            inside = inside if hours is sketches else inside.where("ts >= timestamp_seconds(86400)")
+            assert inside.count() == r["requests"]
+            assert abs(inside.where(F.col("duration") <= r["percentile"]).count() / r["requests"] - .95) <= A.SKETCH_ERROR
+    assert A.merged_percentile(A.hourly_sketches(rows.limit(0), ["k"], "ts"), ["k"]).count() == 0
+
+
 def test_nearest_rank(spark):
     for values, want in (([float(v) for v in range(1, 21)], 19), ([5.0], 5), ([float(v) for v in range(1, 101)], 95), ([7.0] * 50, 7)):
         df = spark.createDataFrame([(1, v) for v in values], "k int, v double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from ..operators import blocks as B, cache as K, retrieval as R, similarity as S
 from ..operators.fuzzy import trigram_join, trigram_text_pairs
 from ..operators.pattern_search import find_patterns
 from ..functions import geometry as G
+from ..functions.registry import register_search_functions
 from ..functions.text import normalize_match, query_hash
 from .catalog import (AS_OF, SQL_CHUNKS, SQL_CORPUS, SQL_DOCUMENT_PAGES, SQL_MESSAGE_PAGES, SQL_SEARCH, Tables, as_of,
                       register, sql_blocks, sql_match, sql_match_tokens, sql_tokens, sql_trigrams)
@@ -806,3 +808,37 @@ WITH {SQL_CACHE} SELECT count(*) AS entries, 0::BIGINT AS hits, round(avg(confid
 def _(t):
     stats = K.cache_stats(cache_entries(t))
     return stats.select("entries", "hits", F.round("avg_confidence", 6).alias("avg_confidence"))
+
+
+# --- K: search and cache as SQL table functions -------------------------------------------------------
+
+def called(t: Tables, call: str):
+    """A SQL call for the first benchmark passage, with its vector and text as arguments."""
+    register_search_functions(t.spark, t.chunks(), cache_entries(t).withColumn("id", F.col("id").cast("string")))
+    query = t.search_queries().orderBy("qid").first()
+    return t.spark.sql(call, args={"vector": F.array(*[F.lit(float(x)) for x in query["emb"]]), "text": query["text"],
+                                   "as_of": dt.datetime.fromisoformat(f"{AS_OF}+00:00")})
+
+
+@register("k01_hybrid_search", f"""
+WITH {SQL_CHUNKS}, {SQL_SEARCH},
+c AS (SELECT chunk_id, emb, {sql_tokens('content')} AS t, {sql_trigrams('content')} AS g FROM chunks WHERE access = 'public'),
+s AS (SELECT qid, emb, list_distinct({sql_tokens('text')}) AS q, {sql_trigrams('text')} AS g FROM search WHERE qid = (SELECT min(qid) FROM search)),
+p AS (SELECT chunk_id, list_cosine_similarity(s.emb, c.emb) AS sim, q, t, len(list_intersect(s.g, c.g)) AS sh, len(s.g) + len(c.g) AS total
+      FROM s CROSS JOIN c),
+k AS (SELECT *, sh::DOUBLE / (total - sh) AS tri, CASE WHEN len(q) > 0 AND list_has_all(t, q) THEN
+   list_sum(list_transform(q, lambda w: ln(1 + len(list_filter(t, lambda x: x = w))))) / (1 + ln(len(t))) ELSE 0 END AS raw FROM p)
+SELECT chunk_id, round(sim, 6) AS similarity, round(raw / (1 + raw), 6) AS fts_rank, round(tri, 6) AS trgm_score
+FROM k WHERE sim > 0.2 OR tri > 0.3 ORDER BY sim * 0.6 + raw / (1 + raw) * 0.25 + tri * 0.15 DESC, chunk_id LIMIT 20""")
+def _(t):
+    return called(t, """SELECT chunk_id, round(similarity, 6) AS similarity, round(fts_rank, 6) AS fts_rank, round(trgm_score, 6) AS trgm_score
+                        FROM hybrid_search(:vector, :text, 0.2D) ORDER BY score DESC, chunk_id LIMIT 20""")
+
+
+@register("k01_find_cached_response", f"""
+WITH {SQL_CACHE}, {SQL_SEARCH}
+SELECT f.id::VARCHAR AS id, 'answer ' || f.id AS answer, round(list_cosine_similarity(q.emb, f.emb), 6) AS similarity
+FROM fresh f JOIN search q ON q.qid = (SELECT min(qid) FROM search) AND list_cosine_similarity(q.emb, f.emb) > 0.1
+ORDER BY list_cosine_similarity(q.emb, f.emb) DESC, f.id::VARCHAR LIMIT 1""")
+def _(t):
+    return called(t, "SELECT id, answer, round(similarity, 6) AS similarity FROM find_cached_response(:vector, :as_of, 0.1D)")

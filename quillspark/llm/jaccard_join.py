@@ -25,6 +25,8 @@ from quillspark.session import materialize
 SHINGLE, PERCENT = 3, 90
 #: Size of the frequency sketch in bits, counters of a row of it, and the largest k.
 SKETCH_BITS, SKETCH_ROW, MOST = 21, 1 << 13, 4
+#: List entries of a set that its rows carry into the full comparison.
+HEAD = 16
 #: Cost of a comparison against that of a list entry, per shingle.
 VERIFY = 0.25
 
@@ -122,9 +124,9 @@ def prefix(values: np.ndarray, counts: np.ndarray, floor: float, percent: int) -
 
 
 def postings(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
-    """token, doc_id, size, place (in the order) and k for every prefix shingle."""
+    """token, doc_id, size, place (in the order), k and set (a digest) for every prefix shingle."""
     schema = StructType([StructField("token", LongType()), docs.schema["doc_id"], StructField("size", IntegerType()),
-                         StructField("place", IntegerType()), StructField("k", IntegerType())])
+                         StructField("place", IntegerType()), StructField("k", IntegerType()), StructField("set", LongType())])
     mean = counts.mean()
     floor = float(mean + 3 * np.sqrt(mean) + 1)
     shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int32))
@@ -132,7 +134,7 @@ def postings(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):
-                tokens, rows, sizes, places, ks = [], [], [], [], []
+                tokens, rows, sizes, places, ks, sets = [], [], [], [], [], []
                 for i, values in enumerate(shingle_sets(block, n)):
                     if len(values):
                         head, k = prefix(values, shared.value, floor, percent)
@@ -141,10 +143,11 @@ def postings(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataF
                         sizes.append(np.full(len(head), len(values), np.int32))
                         places.append(np.arange(len(head), dtype=np.int32))
                         ks.append(np.full(len(head), k, np.int32))
+                        sets.append(np.full(len(head), mix(values).sum(dtype=np.uint64), np.uint64).view(np.int64))
                 if tokens:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate(tokens).view(np.int64)), batch.column(0).take(pa.array(np.concatenate(rows))),
-                         *(pa.array(np.concatenate(x)) for x in (sizes, places, ks))], names=schema.names)
+                         *(pa.array(np.concatenate(x)) for x in (sizes, places, ks, sets))], names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -171,6 +174,23 @@ def _possible(x: str, y: str, percent: int) -> Column:
             & (F.greatest(f"{x}free", f"{y}free") >= need))
 
 
+def _fits_heads(percent: int) -> Column:
+    """Whether a pair of rows of one list is worth a pair: m, the smaller k, of its shared entries lie early enough
+    in both sets, and only the first list that the pair shares makes it. head (places: at) holds the first HEAD
+    entries of a set in the common order, so what both early heads share begins with the first shared entry;
+    where they share none though one goes on early after its head, every list makes the pair."""
+    m, need = F.least("x_k", "y_k"), _need("x_", "y_", percent)
+    limit = {s: F.col(f"{s}size") - need + m for s in ("x_", "y_")}
+    # At least m entries of each set must lie early enough, whatever the partner.
+    enough = [F.coalesce(F.get(f"{s}at", m - 1) < bound, F.lit(False)) for s, bound in limit.items()]
+    early = [F.slice(f"{s}head", F.lit(1), F.size(F.filter(f"{s}at", lambda e: e < bound))) for s, bound in limit.items()]
+    shared = F.array_intersect(*early)
+    whole = [(F.col(f"{s}entries") <= HEAD) | (F.element_at(f"{s}at", -1) >= bound) for s, bound in limit.items()]
+    whole = whole[0] & whole[1]
+    first = F.when(F.size(shared) == 0, ~whole).otherwise((F.get(shared, F.lit(0)) == F.col("token")) & (~whole | (F.size(shared) >= m)))
+    return enough[0] & enough[1] & first
+
+
 def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose sets are similar enough. Only texts of some pair are read again."""
     ids = small(pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct())
@@ -224,24 +244,28 @@ def similar_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     links = materialize(verified(docs, materialize(star.select(F.col("doc_id").alias("a"), F.col("l").alias("b"))), n, percent))
 
     # What the stars left apart is compared in full.
-    fields = ["doc_id", "size", "place", "free", "k", "class"]
+    fields = ["doc_id", "size", "place", "free", "k", "class", "entries", "head", "at"]
     known = components(links)
     placed = (live.join(known, F.col("doc_id") == F.col("node"), "left")
-              .select("token", "doc_id", "size", "place", "free", "k", F.coalesce("component", "doc_id").alias("class"),
+              .select("token", "doc_id", "set", "size", "place", "free", "k", F.coalesce("component", "doc_id").alias("class"),
                       (F.col("doc_id") == F.col("l_doc_id")).alias("leads")))
     placed = materialize(placed)
     mixed = (placed.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi"),
                                          F.max(F.when(F.col("leads"), F.col("class"))).alias("main"))
              .where(F.col("lo") != F.col("hi")).select("token", "main"))
     placed = materialize(placed.join(mixed, "token").drop("leads"))
+    # Sets of different classes share entries of mixed lists alone, so only these count from here on.
+    order = F.array_sort(F.collect_list(F.struct("place", "token")))
+    heads = placed.groupBy("doc_id", "set").agg(order.alias("h")).select(
+        "doc_id", "set", F.size("h").alias("entries"), F.slice("h.token", 1, HEAD).alias("head"), F.slice("h.place", 1, HEAD).alias("at"))
+    placed = materialize(placed.join(heads, ["doc_id", "set"]).drop("set"))
     x = placed.where(F.col("class") != F.col("main")).select("token", *[F.col(c).alias(f"x_{c}") for c in fields])
     y = placed.select("token", "main", *[F.col(c).alias(f"y_{c}") for c in fields])
     once = (F.col("y_class") == F.col("main")) | (F.col("x_doc_id") < F.col("y_doc_id"))
-    left = (x.join(y, "token").where((F.col("x_class") != F.col("y_class")) & once & _possible("x_", "y_", percent))
-            .groupBy(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b"))
-            .agg(F.count("*").alias("shared"), F.min(F.least("x_k", "y_k")).alias("k"))
-            .where(F.col("shared") >= F.col("k")))
-    more = verified(docs, materialize(left.select("a", "b")), n, percent)
+    left = x.join(y, "token").where(
+        (F.col("x_class") != F.col("y_class")) & once & _possible("x_", "y_", percent) & _fits_heads(percent))
+    left = left.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
+    more = verified(docs, materialize(left), n, percent)
 
     final = components(links.unionByName(more))
     own = classes.join(final, F.col("rep") == F.col("node"), "left").select(

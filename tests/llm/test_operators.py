@@ -439,3 +439,43 @@ def test_decontamination_by_shuffle_equals_broadcast(spark, docs, empty):
         assert decontamination.contamination(empty, bench).count() == 0
     clean = decontamination.contamination(docs, bench.limit(0)).collect()
     assert len(clean) == len(ROWS) and not any(r["contaminated"] for r in clean)
+
+
+def test_jaccard_join_of_a_group_just_under_the_limit(spark):
+    """Thousands of copies of one text, each with edits of its own, mostly under 90 % of each other: the links and
+    classes of brute force, and far fewer pairs compared than the square of the group."""
+    rng, base = np.random.default_rng(77), prose(70, 120).split()
+    rows = []
+    for i in range(1500):
+        words = list(base)
+        for at in rng.choice(len(words), int(rng.integers(1, 6)), replace=False):
+            words[at] = f"e{rng.integers(0, 40) if i % 3 else i}y{at}"
+        rows.append((i, " ".join(words)))
+    sets = [{tuple(w[j:j + 3]) for j in range(len(w) - 2)} for w in (t.split() for _, t in rows)]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    under = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 90 * (len(sets[i]) + len(sets[j]) - both):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+            else:
+                under += 1
+    assert under > 700_000
+    compared = []
+    checked = jaccard_join.verified
+    try:
+        jaccard_join.verified = lambda docs, pairs, n, percent: (compared.append(pairs.count()), checked(docs, pairs, n, percent))[1]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_classes(docs).collect()}
+    finally:
+        jaccard_join.verified = checked
+    assert got == {i: root(i) for i in range(len(rows))}
+    assert sum(compared) < under / 7, compared  # most pairs differ by more, and each counts once

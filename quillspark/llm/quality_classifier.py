@@ -151,7 +151,8 @@ def fit(bags: list[np.ndarray], labels: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, trainable, limit: int = SAMPLE) -> Model | None:
     """Fit on at most limit labelled documents picked by a hash of the id; of a document of more than
-    SAMPLE_PASSAGES passages, that many evenly spread ones. None without labelled rows."""
+    SAMPLE_PASSAGES passages, that many evenly spread ones. The model is the same however the table is laid out.
+    None without labelled rows."""
     picked = F.broadcast(label_sample(labels, "quality", trainable, limit))
 
     def make():
@@ -162,8 +163,10 @@ def train(docs: DataFrame, labels: DataFrame, trainable, limit: int = SAMPLE) ->
             return [[b.ravel() for b in spread]]
         return bag
 
-    rows = map_blocks(docs.join(picked, "doc_id"), ["label"], [StructField("x", ArrayType(FloatType()))], make)
-    rows = rows.toArrow()
+    # In order of id and text, so that the fit does not follow the layout of the table.
+    known = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(picked, "doc_id")
+    rows = map_blocks(known, ["doc_id", "text_hash", "label"], [StructField("x", ArrayType(FloatType()))], make)
+    rows = rows.toArrow().sort_by([("doc_id", "ascending"), ("text_hash", "ascending")])
     if not rows.num_rows:
         return None
     bags = [np.asarray(x.values, dtype=np.float64).reshape(-1, WIDTH) for x in rows["x"]]

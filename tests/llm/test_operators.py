@@ -479,3 +479,14 @@ def test_jaccard_join_of_a_group_just_under_the_limit(spark):
         jaccard_join.verified = checked
     assert got == {i: root(i) for i in range(len(rows))}
     assert sum(compared) < under / 7, compared  # most pairs differ by more, and each counts once
+
+
+def test_quality_does_not_depend_on_the_layout(spark):
+    docs = spark.read.parquet(f"{PATH}/documents.parquet")
+    labels = spark.read.parquet(f"{PATH}/labels.parquet")
+    scores = []
+    for n in (1, 7):
+        table = docs.repartition(n, F.xxhash64("doc_id", F.lit(n)))
+        model = quality_classifier.train(table, labels, F.col("doc_id") % 5 != 0)
+        scores.append({r["doc_id"]: r["score"] for r in quality_classifier.score_quality(docs, model).collect()})
+    assert max(abs(scores[0][d] - scores[1][d]) for d in scores[0]) < 1e-9

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.text import normalize_term, trim_unicode
+from ..functions.text import normalize_term, trim_unicode, upper_single
 from .concepts import SCOPE
 
 
@@ -21,7 +21,7 @@ def approve(decisions: DataFrame, state: dict[str, DataFrame], as_of: Column) ->
     rejected decisions (unknown candidate or empty key). Several approvals of one concept in a
     batch take consecutive versions in candidate order. Candidates carry the five scope columns."""
     c = state["candidates"].withColumnRenamed("id", "candidate_id")
-    key = F.upper(trim_unicode("concept_key"))
+    key = upper_single(trim_unicode("concept_key"))
     joined = decisions.withColumn("_key", key).join(
         c.withColumnRenamed("confidence", "_candidate_confidence"), "candidate_id", "left")
     valid = F.col("term_original").isNotNull() & (F.coalesce("_key", F.lit("")) != "")

@@ -7,7 +7,7 @@ must be shared storage on a cluster.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -203,13 +203,14 @@ def candidate_table(root: str, id_type: str, buckets: int = 256) -> BucketedTabl
     return BucketedTable(root, ["term_normalized", "document_id"], N.EMPTY_CANDIDATES.format(id=id_type), buckets)
 
 
-def stream_candidates(documents: DataFrame, root: str, checkpoint: str, as_of, buckets: int = 256, **trigger) -> StreamingQuery:
+def stream_candidates(documents: DataFrame, root: str, checkpoint: str, as_of, buckets: int = 256,
+                      mine: Callable[[DataFrame], DataFrame] = N.mine_candidates, **trigger) -> StreamingQuery:
     """documents(doc_id, text): keeps term candidates in the bucketed table candidate_table(root, ..), a version a
-    batch; a batch rewrites the buckets of its own terms and documents."""
+    batch; a batch rewrites the buckets of its own terms and documents. mine says which candidates."""
     candidates = candidate_table(root, documents.schema["doc_id"].dataType.simpleString(), buckets)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        new = materialize(N.mine_candidates(batch))
+        new = materialize(mine(batch))
         candidates.merge(new, batch_id, lambda old, rows: N.upsert_candidates(old, rows, as_of), ["term_normalized", "doc_id"])
     return (documents.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

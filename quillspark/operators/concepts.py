@@ -6,12 +6,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import candidate_terms
+from ..session import materialize
 
 SCOPE = ("team", "product", "region", "process", "role")
 AMBIGUOUS = {"strict": "Ambiguous internal term detected under strict policy.",
              "show_both": "Term maps to multiple concepts depending on scope/time."}
 STRICT_AMBIGUITY = "Ambiguous internal terminology requires manual clarification."
 STRICT_MISSING = "Missing approved definition for critical concepts: "
+#: Rows of the graph that every task may hold; more are joined by shuffle.
+MAX_BROADCAST_ROWS = 200_000
 STRICT_INTRO = "Need verification workflow before answering this request."
 
 
@@ -33,8 +36,31 @@ def _applies(entity: str, context: str) -> Column:
     return scope_ok(entity, context) & valid_at(f"{entity}.valid_from", f"{entity}.valid_to", f"{context}.as_of")
 
 
+def _shipped(df: DataFrame) -> DataFrame:
+    """One side of a graph join: broadcast if at most MAX_BROADCAST_ROWS rows were read of it, else sorted and merged. Left to
+    the optimiser, whose sizes miss explodes and joins, the queries' side could be broadcast."""
+    return df.hint("broadcast" if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else "merge")
+
+
+def _contexts(df: DataFrame) -> DataFrame:
+    """What a definition or relation of a concept depends on, once however many queries ask."""
+    return df.select("concept_id", *SCOPE, "as_of").distinct()
+
+
+def _same_context(a: str, b: str) -> Column:
+    same = F.col(f"{a}.concept_id") == F.col(f"{b}.concept_id")
+    for name in (*SCOPE, "as_of"):
+        same = same & F.col(f"{a}.{name}").eqNullSafe(F.col(f"{b}.{name}"))
+    return same
+
+
+def _dealt(queries: DataFrame) -> DataFrame:
+    """Queries by id: their terms cost far more than reading them, and what follows groups and joins by query."""
+    return queries.repartition("qid")
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
-    return queries.select("qid", *SCOPE, "as_of", F.explode(candidate_terms("text")).alias("term"))
+    return _dealt(queries).select("qid", *SCOPE, "as_of", F.explode(candidate_terms("text")).alias("term"))
 
 
 def resolve_aliases(terms: DataFrame, aliases: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -43,7 +69,7 @@ def resolve_aliases(terms: DataFrame, aliases: DataFrame, concepts: DataFrame) -
         F.col("id").alias("concept_id"), F.col("key").alias("concept_key"), F.col("label").alias("concept_label"),
         "criticality")
     usable = (aliases.where(F.col("status") == "active").join(live, "concept_id"))
-    t, a = terms.alias("t"), usable.alias("a")
+    t, a = terms.alias("t"), _shipped(usable).alias("a")
     return (t.join(a, (F.col("t.term") == F.col("a.alias_normalized")) & _applies("a", "t"))
             .select("t.qid", *[f"t.{s}" for s in SCOPE], "t.as_of", F.col("a.id").alias("alias_id"), "a.alias",
                     "a.alias_normalized", F.col("a.confidence").alias("alias_confidence"), "a.concept_id",
@@ -54,15 +80,21 @@ def best_definitions(matches: DataFrame, definitions: DataFrame) -> DataFrame:
     """Per (query, concept) the approved definition with the highest confidence, then the latest
     start, then the smallest id."""
     wanted = matches.select("qid", *SCOPE, "as_of", "concept_id").dropDuplicates(["qid", "concept_id"])
-    d = definitions.where(F.col("status") == "approved").alias("d")
-    m = wanted.alias("m")
-    order = W.partitionBy("qid", "concept_id").orderBy(F.desc("confidence"), F.desc("valid_from"), "definition_id")
+    best = _shipped(materialize(_context_definitions(wanted, definitions)))
+    return (wanted.alias("m").join(best.alias("b"), _same_context("m", "b"))
+            .select("m.qid", "m.concept_id", "b.definition_id", "b.definition", "b.definition_confidence"))
+
+
+def _context_definitions(matches: DataFrame, definitions: DataFrame) -> DataFrame:
+    d = _shipped(definitions.where(F.col("status") == "approved")).alias("d")
+    m = _contexts(matches).alias("m")
+    context = ["concept_id", *SCOPE, "as_of"]
+    order = W.partitionBy(*context).orderBy(F.desc("confidence"), F.desc("valid_from"), "definition_id")
     return (m.join(d, (F.col("m.concept_id") == F.col("d.concept_id")) & _applies("d", "m"))
-            .select("m.qid", "m.concept_id", F.col("d.id").alias("definition_id"), "d.definition", "d.confidence",
+            .select(*[f"m.{c}" for c in context], F.col("d.id").alias("definition_id"), "d.definition", "d.confidence",
                     "d.valid_from")
             .withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") == 1)
-            .select("qid", "concept_id", "definition_id", "definition",
-                    F.col("confidence").alias("definition_confidence")))
+            .select(*context, "definition_id", "definition", F.col("confidence").alias("definition_confidence")))
 
 
 def resolved_concepts(matches: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -70,17 +102,18 @@ def resolved_concepts(matches: DataFrame, definitions: DataFrame) -> DataFrame:
     once = (matches.groupBy("qid", "alias_normalized", "concept_id")
             .agg(F.min_by(F.struct("alias", "alias_confidence", "concept_key", "concept_label", "criticality",
                                    "as_of", *SCOPE), "alias_id").alias("m")))
-    best = best_definitions(matches, definitions)
-    return (once.join(best, ["qid", "concept_id"], "left")
-            .select("qid", "concept_id", "m.concept_key", "m.concept_label", "m.alias", "alias_normalized",
-                    "definition_id", "definition",
-                    F.coalesce("definition_confidence", "m.alias_confidence").alias("confidence"),
+    best = _shipped(materialize(_context_definitions(matches, definitions))).alias("b")
+    flat = once.select("qid", "alias_normalized", "concept_id", "m.*").alias("m")
+    return (flat.join(best, _same_context("m", "b"), "left")
+            .select("m.qid", "m.concept_id", "m.concept_key", "m.concept_label", "m.alias", "m.alias_normalized",
+                    "b.definition_id", "b.definition",
+                    F.coalesce("b.definition_confidence", "m.alias_confidence").alias("confidence"),
                     "m.criticality", "m.as_of", *[f"m.{s}" for s in SCOPE]))
 
 
 def unresolved(terms: DataFrame, matches: DataFrame) -> DataFrame:
     seen = matches.select("qid", F.col("alias_normalized").alias("term")).distinct()
-    return terms.select("qid", "term").join(seen, ["qid", "term"], "left_anti")
+    return terms.select("qid", "term").join(seen.hint("merge"), ["qid", "term"], "left_anti")
 
 
 def ambiguities(resolved: DataFrame, policy: str = "show_both") -> DataFrame:
@@ -92,15 +125,14 @@ def ambiguities(resolved: DataFrame, policy: str = "show_both") -> DataFrame:
 def graph_hints(resolved: DataFrame, relationships: DataFrame, concepts: DataFrame) -> DataFrame:
     """Approved outgoing relations of the resolved concepts as 'FROM type TO'."""
     sources = resolved.select("qid", "concept_id", "as_of", *SCOPE).dropDuplicates(["qid", "concept_id"]).alias("s")
-    edges = relationships.where(F.col("status") == "approved").alias("e")
-    hop = (sources.join(edges, (F.col("s.concept_id") == F.col("e.from_id")) & _applies("e", "s"))
-           .select("s.qid", F.col("e.id").alias("relation_id"), "e.from_id", "e.to_id", "e.relation_type"))
     f = concepts.select(F.col("id").alias("from_id"), F.col("key").alias("_from"))
     t = concepts.select(F.col("id").alias("to_id"), F.col("key").alias("_to"))
-    return (hop.join(f, "from_id", "left").join(t, "to_id", "left")
-            .select("qid", "relation_id",
-                    F.concat_ws(" ", F.coalesce("_from", F.col("from_id").cast("string")), "relation_type",
-                                F.coalesce("_to", F.col("to_id").cast("string"))).alias("hint")))
+    edges = relationships.where(F.col("status") == "approved").join(f.hint("merge"), "from_id", "left").join(t.hint("merge"), "to_id", "left")
+    hint = F.concat_ws(" ", F.coalesce("_from", F.col("from_id").cast("string")), "relation_type",
+                       F.coalesce("_to", F.col("to_id").cast("string")))
+    named = _shipped(edges.select("id", "from_id", *SCOPE, "valid_from", "valid_to", hint.alias("hint"))).alias("e")
+    return (sources.join(named, (F.col("s.concept_id") == F.col("e.from_id")) & _applies("e", "s"))
+            .select("s.qid", F.col("e.id").alias("relation_id"), "e.hint"))
 
 
 def _ordered(entry: Column, *keys: str) -> Column:
@@ -131,7 +163,7 @@ def rewrite_queries(queries: DataFrame, resolved: DataFrame, hints: DataFrame) -
     graph = hints.groupBy("qid").agg(
         F.array_join(_ordered(F.concat(F.lit("- "), F.col("hint")), "relation_id"), "\n").alias("_graph"))
     text = _expanded(F.col("_meaning"), F.col("_graph"))
-    return (queries.join(meaning, "qid", "left").join(graph, "qid", "left").withColumn("_scope", _scope_json())
+    return (queries.join(meaning.hint("merge"), "qid", "left").join(graph.hint("merge"), "qid", "left").withColumn("_scope", _scope_json())
             .select("qid", F.col("text").alias("query_text"),
                     F.when(F.col("_meaning").isNull(), F.col("text")).otherwise(text).alias("expanded_query")))
 
@@ -147,7 +179,7 @@ def strict_gate(queries: DataFrame, resolved: DataFrame, ambiguous: DataFrame, p
         F.when(F.lit(policy == "strict") & F.col("_unclear"), F.lit(f"- {STRICT_AMBIGUITY}")),
         F.when(F.lit(strict) & F.col("_missing").isNotNull(),
                F.concat(F.lit(f"- {STRICT_MISSING}"), F.col("_missing")))), lambda r: r.isNotNull())
-    return (queries.select("qid").join(unclear, "qid", "left").join(missing, "qid", "left")
+    return (queries.select("qid").join(unclear.hint("merge"), "qid", "left").join(missing.hint("merge"), "qid", "left")
             .withColumn("_r", reasons)
             .select("qid", F.when(F.size("_r") > 0, F.concat(F.lit(STRICT_INTRO + "\n"), F.array_join("_r", "\n")))
                     .alias("failure")))
@@ -160,7 +192,7 @@ def interpretation(resolved: DataFrame, rewritten: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("alias_normalized")).alias("detected_terms"),
         F.array_sort(F.collect_list(concept)).alias("resolved_concepts"),
         F.array_sort(F.collect_set("definition_id")).alias("definition_ids"))
-    out = rewritten.join(payload, "qid", "left")
+    out = rewritten.join(payload.hint("merge"), "qid", "left")
     for name in ("detected_terms", "resolved_concepts", "definition_ids"):
         kind = payload.schema[name].dataType.simpleString()
         out = out.withColumn(name, F.coalesce(name, F.array().cast(kind)))
@@ -172,17 +204,17 @@ def interpret(queries: DataFrame, graph: dict[str, DataFrame], policy: str = "sh
               graph_enabled: bool = True) -> DataFrame:
     """The whole interpretation: expanded query, payload, ambiguities, unknown terms, gate. One
     aggregate per query feeds everything but the graph hints."""
-    asked = queries.select("*", candidate_terms("text").alias("_terms"))
+    asked = _dealt(queries).select("*", candidate_terms("text").alias("_terms"))
     terms = asked.select("qid", *SCOPE, "as_of", F.explode("_terms").alias("term"))
     resolved = resolved_concepts(resolve_aliases(terms, graph["aliases"], graph["concepts"]), graph["definitions"])
     row = F.struct("alias_normalized", "concept_key", "concept_id", "alias", "definition_id", "definition",
                    "confidence", "criticality")
     found = resolved.groupBy("qid").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    base = asked.join(found, "qid", "left")
+    base = asked.join(found.hint("merge"), "qid", "left")
     if graph_enabled:
         hints = graph_hints(resolved, graph["relationships"], graph["concepts"]).groupBy("qid").agg(
             F.array_join(_ordered(F.concat(F.lit("- "), F.col("hint")), "relation_id"), "\n").alias("_graph"))
-        base = base.join(hints, "qid", "left")
+        base = base.join(hints.hint("merge"), "qid", "left")
     kind = found.schema["_rows"].dataType.simpleString()
     base = base.withColumn("_rows", F.coalesce("_rows", F.array().cast(kind)))
     base = base.withColumn("detected_terms", F.array_distinct(F.transform("_rows", lambda r: r["alias_normalized"])))

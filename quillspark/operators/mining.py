@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.terms import run_lengths, run_starts
 from ..functions.text import normalize_term, trim_unicode
 
 # Phrasings that introduce a term (one per pattern), case-insensitive.
@@ -14,6 +17,8 @@ TERM_PATTERNS = [
 ]
 PATTERN_CONFIDENCE, CONTEXT_LIMIT = 0.65, 500
 MIN_COUNT, CAP, MIN_WORD, MAX_WORD = 3, 100, 3, 30
+#: Texts counted at once.
+_TEXTS = 256
 
 
 def mine_patterns(docs: DataFrame) -> DataFrame:
@@ -32,23 +37,35 @@ def mine_patterns(docs: DataFrame) -> DataFrame:
         F.struct(F.lit(0).alias("kind"), F.col("_line_no").alias("at"), F.col("m.n").alias("sub")).alias("ord"))
 
 
+def _first_grams(text: str, min_count: int, cap: int) -> list[tuple[int, str, int]]:
+    """(place of first use, term, uses) of the words and word pairs used at least min_count times, the first `cap`."""
+    words = [w for w in text.split(" ") if MIN_WORD <= len(w) <= MAX_WORD]
+    found = []
+    for pair, grams in enumerate((words, list(zip(words, words[1:])))):
+        often = [(g, n) for g, n in Counter(grams).items() if n >= min_count]
+        if often:
+            first = dict(zip(reversed(grams), range(len(grams) - 1, -1, -1)))
+            found += [(2 * first[g] + pair, " ".join(g) if pair else g, n) for g, n in often]
+    return sorted(found)[:cap]
+
+
 def mine_ngrams(docs: DataFrame, min_count: int = MIN_COUNT, cap: int = CAP) -> DataFrame:
     """Words and word pairs used at least min_count times in a document; the first `cap` of them
     in order of first use; a row is a document. All is counted inside the row, so nothing is exchanged."""
-    words = F.filter(F.split(normalize_term("text"), " "),
-                     lambda w: (F.length(w) >= MIN_WORD) & (F.length(w) <= MAX_WORD))
-    grams = F.flatten(F.transform("_words", lambda w, i: F.array(
-        F.struct(w.alias("term"), (i * 2).alias("at")),
-        F.struct(F.concat(w, F.lit(" "), F.try_element_at("_words", (i + 2).cast("int"))).alias("term"),
-                 (i * 2 + 1).alias("at")))))
-    ordered = (docs.select("doc_id", words.alias("_words"))
-               .select("doc_id", F.array_sort(F.filter(grams, lambda g: g["term"].isNotNull())).alias("_s"))
-               .withColumn("_b", run_starts("_s", "term")))
-    # Sorted by term and place, so that a run begins with the term's first use.
-    counted = run_lengths("_s", "_b", lambda b, n: F.struct(
-        F.get(F.col("_s"), b)["at"].alias("at"), F.get(F.col("_s"), b)["term"].alias("term"), n.cast("long").alias("n")))
-    first = F.slice(F.array_sort(F.filter(counted, lambda g: g["n"] >= min_count)), 1, cap)
-    return (ordered.select("doc_id", F.explode(first).alias("g")).select("doc_id", "g.*")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _TEXTS):
+                part = batch.slice(at, _TEXTS)
+                grams = [(i, *g) for i, text in enumerate(part.column(1).to_pylist()) if text
+                         for g in _first_grams(text, min_count, cap)]
+                rows, places, terms, uses = zip(*grams) if grams else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(rows, pa.int32())), pa.array(places, pa.int32()), pa.array(terms, pa.string()),
+                     pa.array(uses, pa.int64())], names=["doc_id", "at", "term", "n"])
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return (docs.select("doc_id", normalize_term("text").alias("text"))
+            .mapInArrow(count, f"doc_id {id_type}, at int, term string, n bigint")
             .select("doc_id", F.col("term").alias("term_original"), F.col("term").alias("term_normalized"),
                     F.lit("").alias("context"),
                     F.least(F.lit(0.6), F.lit(0.2) + F.col("n") * F.lit(0.05)).alias("confidence"),

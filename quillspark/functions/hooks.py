@@ -10,7 +10,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .terms import distinct_terms
@@ -66,12 +66,17 @@ def _safe(hook: EmbedHook, texts: list[str], dim: int) -> Iterator[tuple[list[fl
 def embed(df: DataFrame, text_col: str, hook: EmbedHook, dim: int, batch: int = EMBED_BATCH) -> DataFrame:
     """Adds emb, embed_failed and est_tokens. A failed item gets a zero vector, which every
     search leaves out. Only the text column crosses into Python."""
-    @F.pandas_udf("emb array<float>, failed boolean")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    kind = pa.struct([("emb", pa.list_(pa.float32())), ("failed", pa.bool_())])
+
+    # Only the texts of one call of the hook are Python objects at a time, and their vectors are packed at once.
+    @F.arrow_udf("emb array<float>, failed boolean")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            values = ["" if t is None else t for t in texts]
-            rows = [r for at in range(0, len(values), batch) for r in _safe(hook, values[at:at + batch], dim)]
-            yield pd.DataFrame({"emb": [r[0] for r in rows], "failed": [r[1] for r in rows]})
+            parts = [pa.array([], kind)]
+            for at in range(0, len(texts), batch):
+                values = ["" if t is None else t for t in texts.slice(at, batch).to_pylist()]
+                parts.append(pa.array([{"emb": v, "failed": f} for v, f in _safe(hook, values, dim)], kind))
+            yield pa.concat_arrays(parts)
     out = df.withColumn("_e", run(F.col(text_col)))
     return out.select(*df.columns, F.col("_e.emb").alias("emb"), F.col("_e.failed").alias("embed_failed"),
                       estimate_api_tokens(text_col).alias("est_tokens"))

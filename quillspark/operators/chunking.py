@@ -11,7 +11,7 @@ import math
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -120,10 +120,14 @@ def split_text(text: str, max_tokens: int, overlap: float) -> list[str]:
 
 
 def _splitter(max_tokens: int, overlap: float):
-    @F.pandas_udf(ArrayType(StringType()))
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    # Only a few texts at a time are Python objects, and their parts are packed at once.
+    @F.arrow_udf(ArrayType(StringType()))
+    def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.string())
         for texts in batches:
-            yield texts.map(lambda t: None if t is None else split_text(t, max_tokens, overlap))
+            parts = [pa.array([None if t is None else split_text(t, max_tokens, overlap) for t in texts.slice(at, 64).to_pylist()], kind)
+                     for at in range(0, len(texts), 64)]
+            yield pa.concat_arrays([pa.array([], kind), *parts])
     return split
 
 

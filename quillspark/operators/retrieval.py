@@ -5,8 +5,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.pandas.types import from_arrow_type, to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import terms as T
 from ..functions.hooks import ScoreHook
@@ -15,7 +19,7 @@ from ..functions.text import bind, split_sentences, trim_unicode
 from ..functions.vectors import cosine_similarity
 from ..session import materialize
 from .fuzzy import trigram_text_pairs
-from .similarity import bucket_scores, rank_scores, vector_scores, vector_topk
+from .similarity import MAX_BROADCAST_VALUES, _matrices, bucket_scores, rank_scores, vector_scores, vector_topk
 
 CONTEXT_BUDGET = 24_000
 SEPARATOR = "\n\n---\n\n"
@@ -245,26 +249,135 @@ def owner_topk(queries: DataFrame, chunks: DataFrame, documents: DataFrame, k: i
     return rank_scores(public.unionByName(private), k)
 
 
+class _Weighted:
+    """The best pairs of each query so far: those whose highest possible score reaches the limit-th best sure one."""
+
+    def __init__(self, n: int, limit: int) -> None:
+        self.limit, self.least, self.kept, self.pending = limit, np.full(n, -np.inf), [], 0
+
+    def add(self, q: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarray, tri: np.ndarray) -> None:
+        reach = high >= self.least[q] - MARGIN
+        self.kept.append(tuple(x[reach] for x in (q, ids, low, high, tri)))
+        self.pending += int(reach.sum())
+        if self.pending > 500_000:
+            self.compact()
+
+    def compact(self) -> tuple:
+        rows = tuple(np.concatenate(x) for x in zip(*self.kept))
+        order = np.lexsort((-rows[2], rows[0]))
+        q, ids, low, high, tri = (x[order] for x in rows)
+        starts = np.searchsorted(q, np.arange(len(self.least)))
+        at = starts + self.limit - 1
+        full = at < np.r_[starts[1:], len(q)]
+        self.least[full] = np.maximum(self.least[full], low[at[full]])
+        reach = high >= self.least[q] - MARGIN
+        self.kept, self.pending = [tuple(x[reach] for x in (q, ids, low, high, tri))], 0
+        return self.kept[0]
+
+
+#: Slack of scores that two libraries add up; a block of rows of the weighted search.
+MARGIN, WEIGHTED_BLOCK = 1e-6, 512
+
+
+def _weighted_near(asked: pa.Table, pool: DataFrame, match_threshold: float, trigram_threshold: float, limit: int,
+                   weights: tuple[float, float, float]) -> DataFrame:
+    """qid, chunk_id, _tri of the pairs above either threshold that can be among the limit best, for a query batch that fits
+    into a task. One scan: a chunk's trigrams are taken once and meet all queries in a product. Only a chunk with all
+    trigrams of a query can hold all its words, so for the others the text score is known to be 0."""
+    w_vec, w_text, w_tri = weights
+    shared = pool.sparkSession.sparkContext.broadcast(asked)
+    schema = StructType([StructField("qid", from_arrow_type(asked.schema.field("qid").type)), pool.schema["chunk_id"],
+                         StructField("low", DoubleType()), StructField("high", DoubleType()), StructField("_tri", DoubleType())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value.combine_chunks()
+        n, qids = table.num_rows, table["qid"].combine_chunks()
+        grams = table["grams"].combine_chunks()
+        words = pc.unique(grams.flatten())
+        q_size = pc.list_value_length(grams).to_numpy(zero_copy_only=False).astype(np.float64)
+        marks = _gram_marks(grams, words)
+        vectors = {d: (rows, m) for d, rows, m in _unit_rows(table["emb"].combine_chunks())}
+        best, arrow = _Weighted(n, limit), to_arrow_schema(schema)
+        ids: list = []
+        for batch in batches:
+            for at in range(0, batch.num_rows, WEIGHTED_BLOCK):
+                part = batch.slice(at, WEIGHTED_BLOCK)
+                c_size = pc.list_value_length(part.column(2)).to_numpy(zero_copy_only=False).astype(np.float64)
+                common = (marks @ _gram_marks(part.column(2), words).T).astype(np.float64)
+                union = q_size[:, None] + c_size[None, :] - common
+                tri = np.divide(common, union, out=np.zeros_like(common), where=common > 0)
+                cosine = np.full(common.shape, -2.0)  # none
+                for d, rows, m in _unit_rows(part.column(1)):
+                    if d in vectors:
+                        cosine[np.ix_(vectors[d][0], rows)] = vectors[d][1] @ m.T
+                q, c = np.nonzero((cosine > match_threshold) | (tri > trigram_threshold))
+                low = w_vec * np.where(cosine[q, c] < -1.5, 0.0, cosine[q, c]) + w_tri * tri[q, c]
+                whole = (common[q, c] == q_size[q]) & (q_size[q] > 0)
+                first = len(ids)
+                ids.extend(part.column(0).to_pylist())
+                best.add(q, first + c, low, low + np.where(whole, w_text, 0.0), tri[q, c])
+        if best.kept:
+            q, c, low, high, tri = best.compact()
+            yield pa.RecordBatch.from_arrays(
+                [qids.take(pa.array(q)).cast(arrow.field(0).type), pa.array([ids[i] for i in c], arrow.field(1).type),
+                 pa.array(low), pa.array(high), pa.array(tri)], schema=arrow)
+
+    near = pool.select("chunk_id", "emb", T.trigrams("content").alias("grams")).mapInArrow(scan, schema)
+    # The same cut once more over what all tasks have kept.
+    sure = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("low")))
+    near = near.withColumn("_rn", sure)
+    least = F.min(F.when(F.col("_rn") == limit, F.col("low"))).over(W.partitionBy("qid"))
+    return near.withColumn("_least", least).where(F.col("_least").isNull() | (F.col("high") >= F.col("_least") - MARGIN)).select(
+        "qid", "chunk_id", "_tri")
+
+
+def _gram_marks(grams: pa.Array, words: pa.Array) -> np.ndarray:
+    """Rows x words: 1 where the list has the word."""
+    out = np.zeros((len(grams), len(words)), np.float32)
+    column = pc.fill_null(pc.index_in(grams.flatten(), value_set=words), -1).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(grams)), pc.list_value_length(grams).to_numpy(zero_copy_only=False))
+    out[row[column >= 0], column[column >= 0]] = 1
+    return out
+
+
+def _unit_rows(vectors: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dimension, rows, unit vectors) of the usable vectors of each length."""
+    places = pa.array(np.arange(len(vectors)))
+    yield from _matrices(places, vectors)
+
+
 def hybrid_search_weighted(queries: DataFrame, chunks: DataFrame, match_threshold: float = 0.85,
                            trigram_threshold: float = 0.3, limit: int = 20, access: str = "public",
-                           weights: tuple[float, float, float] = (0.6, 0.25, 0.15)) -> DataFrame:
+                           weights: tuple[float, float, float] = (0.6, 0.25, 0.15), max_queries: int = 1024) -> DataFrame:
     """Rows above the vector threshold or, for typos, the trigram one, ordered by a weighted sum.
 
-    Text and trigram scores add at most their weights, so per query only vectors within that
-    margin of the limit-th best can reach the result; the others are not emitted."""
+    A query batch that fits is broadcast and met in one scan (_weighted_near). For larger ones text and trigram
+    scores add at most their weights, so per query only vectors within that margin of the limit-th best can reach
+    the result; the others are not emitted."""
     w_vec, w_text, w_tri = weights
     pool = chunks.where(F.col("access") == access).select("chunk_id", "content", "emb")
+    texts = queries.select("qid", "text", F.col("emb").alias("_qemb"))
+    asked = queries.select("qid", "emb", T.trigrams("text").alias("grams")).limit(max_queries + 1).toArrow()
+    values = pc.sum(pc.list_value_length(asked["emb"])).as_py() or 0
+    if asked.num_rows <= max_queries and values <= MAX_BROADCAST_VALUES:
+        found = _weighted_near(asked, pool, match_threshold, trigram_threshold, limit, weights)
+        return _ranked_weighted(found, pool, texts, weights, limit)
     near = vector_scores(queries, pool, limit, floor=match_threshold, strict=True,
                          slack=(w_text + w_tri) / w_vec).select("qid", "chunk_id", F.lit(None).cast("double").alias("_tri"))
-    texts = queries.select("qid", "text", F.col("emb").alias("_qemb"))
     alike = (trigram_text_pairs(queries, pool.select(F.col("content").alias("text")), trigram_threshold)
              .select(F.col("left_text").alias("text"), F.col("right_text").alias("content"),
                      F.col("similarity").alias("_tri")))
     close = (texts.select("qid", "text").join(alike, "text")
              .join(pool.select("chunk_id", "content"), "content").select("qid", "chunk_id", "_tri"))
+    found = near.unionByName(close).groupBy("qid", "chunk_id").agg(F.max("_tri").alias("_tri"))
+    return _ranked_weighted(found, pool, texts, weights, limit)
+
+
+def _ranked_weighted(found: DataFrame, pool: DataFrame, texts: DataFrame, weights: tuple[float, float, float], limit: int) -> DataFrame:
+    """The limit best of found(qid, chunk_id, _tri) by the weighted sum."""
+    w_vec, w_text, w_tri = weights
     # Pairs found by their trigrams bring the similarity along; it is computed for the others only.
     overlap = bind(T.trigrams("content"), lambda c: bind(T.trigrams("text"), lambda q: T.trigram_overlap(c, q)))
-    found = near.unionByName(close).groupBy("qid", "chunk_id").agg(F.max("_tri").alias("_tri"))
     scored = (found.join(pool, "chunk_id").join(texts, "qid")
               .withColumn("similarity", cosine_similarity("emb", "_qemb"))
               .withColumn("_q", T.distinct_terms("text"))

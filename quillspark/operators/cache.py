@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import materialize
 from .similarity import vector_topk
 
 SIMILARITY_FLOOR, MIN_CONFIDENCE, TTL_SECONDS = 0.95, 0.85, 24 * 3600
@@ -23,19 +24,25 @@ def lookup_exact(queries: DataFrame, cache: DataFrame, as_of: Column) -> DataFra
 def lookup_semantic(queries: DataFrame, cache: DataFrame, as_of: Column,
                     floor: float = SIMILARITY_FLOOR, strict: bool = False) -> DataFrame:
     """queries(qid, hash, emb): the nearest fresh entry if similar enough. Equal queries share a
-    hash and are searched once. strict asks for more than the floor, as the SQL function does."""
-    once = queries.groupBy("hash").agg(F.min_by("emb", "qid").alias("emb")).withColumnRenamed("hash", "qid")
-    entries = _fresh(cache, as_of).select(F.col("id").alias("chunk_id"), "emb")
-    best = (vector_topk(once, entries, 1, floor=floor, strict=strict)
-            .select(F.col("qid").alias("hash"), F.col("chunk_id").alias("cache_id"),
-                    F.col("vector_score").alias("similarity")))
+    hash and are searched once, and so are equal vectors; of entries with equal vectors the smallest id counts.
+    Both sides are written once, as the search reads them several times. strict asks for more than the floor, as
+    the SQL function does."""
+    queries = materialize(queries.select("qid", "hash", "emb"))
+    once = materialize(queries.groupBy("hash").agg(F.min_by("emb", "qid").alias("emb")))
+    asked = materialize(once.where(F.col("emb").isNotNull()).groupBy("emb").agg(F.min("hash").alias("qid")))
+    entries = materialize(_fresh(cache, as_of).groupBy("emb").agg(F.min("id").alias("chunk_id")))
+    found = materialize(vector_topk(asked, entries, 1, floor=floor, strict=strict).select("qid", "chunk_id", "vector_score"))
+    best = (once.join(asked, "emb").join(found, "qid")
+            .select("hash", F.col("chunk_id").alias("cache_id"), F.col("vector_score").alias("similarity")))
     return queries.select("qid", "hash").join(best, "hash").select("qid", "cache_id", "similarity")
 
 
 def resolve_cache(queries: DataFrame, cache: DataFrame, as_of: Column,
                   floor: float = SIMILARITY_FLOOR) -> DataFrame:
     """qid, hit_kind (exact, semantic, miss), cache_id, similarity. Only queries without an exact
-    hit reach the vector search."""
+    hit reach the vector search. Queries and cache are written once."""
+    queries = materialize(queries.select("qid", "hash", "emb"))
+    cache = materialize(cache.select("id", "hash", "emb", "expires_at"))
     exact = lookup_exact(queries, cache, as_of)
     rest = queries.join(exact.select("qid"), "qid", "left_anti")
     near = lookup_semantic(rest, cache, as_of, floor)

@@ -99,9 +99,10 @@ PIECE = 4096
 
 
 class _OrderedWindow(StatefulProcessor):
-    """_Window for rows in any order. Rows wait in pieces of at most PIECE, by the time bucket they fall in, until the
-    watermark has passed the bucket; buckets are released in order, each sorted by itself. A row costs
-    one write and one read of state, and memory is bounded by a key's rows of one bucket, however many wait."""
+    """_Window for rows in any order, which wait until the watermark has passed the time bucket they fall in; buckets are
+    released in order, each sorted by itself. Up to PIECE rows of a key wait as one value, read and written once
+    a batch, with one timer. Beyond that they wait in pieces of at most PIECE by bucket: a row costs one write
+    and one read of state, and memory is bounded by a key's rows of one bucket, however many wait."""
 
     def __init__(self, width: int, closed: bool, bucket: int, id_type: str) -> None:
         self.width, self.closed, self.bucket, self.id_type = width, closed, bucket, id_type
@@ -109,41 +110,83 @@ class _OrderedWindow(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.window = handle.getValueState("window", "start bigint, n bigint")
+        self.few = handle.getValueState("few", f"t array<bigint>, id array<{self.id_type}>, many boolean")
         self.counts = handle.getMapState("buckets", "b bigint", "n int")
         self.pieces = handle.getMapState("pieces", "b bigint, i int", f"t array<bigint>, id array<{self.id_type}>")
 
+    def _wake(self, t: int) -> None:
+        """A timer for the end of a time's bucket."""
+        self.handle.registerTimer((t // self.bucket + 1) * self.bucket // 1000)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self.few.get() if self.few.exists() else ([], [], False)
+        many, times, ids = held[2], list(held[0]), list(held[1])
+        first = min(times, default=None)
         for part in rows:
-            for b, same in part.groupby(part["t"] // self.bucket):
-                b = int(b)
-                held = self.counts.getValue((b,))
-                n = held[0] if held else 0
-                if not n:
-                    self.handle.registerTimer((b + 1) * self.bucket // 1000)
-                for at in range(0, len(same), PIECE):
-                    piece = same.iloc[at:at + PIECE]
-                    self.pieces.updateValue((b, n), (piece["t"].tolist(), piece["id"].tolist()))
-                    n += 1
-                self.counts.updateValue((b,), (n,))
+            if not many and len(times) + len(part) <= PIECE:
+                times += part["t"].tolist()
+                ids += part["id"].tolist()
+                continue
+            if times:
+                self._put(pd.DataFrame({"t": times, "id": ids}))
+                times, ids = [], []
+            many = True
+            self._put(part)
+        if times and (first is None or min(times) // self.bucket < first // self.bucket):
+            self._wake(min(times))
+        if not (many and held[2]):
+            self.few.update((times, ids, many))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = expiredTimerInfo.getExpiryTimeInMs() * 1000
+    def _put(self, rows: pd.DataFrame) -> None:
+        for b, same in rows.groupby(rows["t"] // self.bucket):
+            b = int(b)
+            held = self.counts.getValue((b,))
+            n = held[0] if held else 0
+            if not n:
+                self._wake(b * self.bucket)
+            for at in range(0, len(same), PIECE):
+                piece = same.iloc[at:at + PIECE]
+                self.pieces.updateValue((b, n), (piece["t"].tolist(), piece["id"].tolist()))
+                n += 1
+            self.counts.updateValue((b,), (n,))
+
+    def _ready(self, passed: int) -> Iterator[list[tuple]]:
+        """The sorted rows of each bucket that has passed, in order, taken out of the state."""
+        held = self.few.get() if self.few.exists() else ([], [], False)
+        if not held[2]:
+            rows = sorted(zip(held[0], held[1]))
+            done = [r for r in rows if (r[0] // self.bucket + 1) * self.bucket <= passed]
+            self.waits = len(done) < len(rows)
+            if done:
+                rest = rows[len(done):]
+                if rest:
+                    self.few.update(([t for t, _ in rest], [i for _, i in rest], False))
+                    self._wake(rest[0][0])
+                else:
+                    self.few.clear()
+                yield done
+            return
         waiting = sorted(b for (b,) in self.counts.keys())
-        held = self.window.get() if self.window.exists() else None
-        start, n = (held[0], held[1]) if held is not None else (None, 0)
-        opened = start
-        for b in waiting:
-            if (b + 1) * self.bucket > passed:
-                break
-            times, ids = [], []
+        ready = [b for b in waiting if (b + 1) * self.bucket <= passed]
+        self.waits = len(ready) < len(waiting)
+        for b in ready:
+            rows = []
             for i in range(self.counts.getValue((b,))[0]):
                 piece = self.pieces.getValue((b, i))
-                times += piece[0]
-                ids += piece[1]
+                rows += zip(piece[0], piece[1])
                 self.pieces.removeKey((b, i))
             self.counts.removeKey((b,))
-            rows = sorted(zip(times, ids))
+            yield sorted(rows)
+        if not self.waits:
+            self.few.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = self.window.get() if self.window.exists() else None
+        start, n = (held[0], held[1]) if held is not None else (None, 0)
+        opened = start
+        for rows in self._ready(passed):
             for at in range(0, len(rows), PIECE):
                 starts, counts, part = [], [], rows[at:at + PIECE]
                 for t, _ in part:
@@ -153,8 +196,9 @@ class _OrderedWindow(StatefulProcessor):
                     counts.append(n)
                 yield pd.DataFrame({"id": [i for _, i in part], "key": [key[0]] * len(part), "t": [t for t, _ in part],
                                     "start": starts, "n": counts})
-        if start is not None and start + self.width < passed and not any((b + 1) * self.bucket > passed for b in waiting):
-            self.window.clear()  # the window has run out and nothing waits
+        if start is not None and start + self.width < passed and not self.waits:
+            if held is not None:
+                self.window.clear()  # the window has run out and nothing waits
         elif start is not None:
             self.window.update((start, n))
             if start != opened:

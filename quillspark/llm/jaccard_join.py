@@ -124,9 +124,9 @@ def prefix(values: np.ndarray, counts: np.ndarray, floor: float, percent: int) -
 
 
 def postings(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
-    """token, doc_id, size, place (in the order), k and set (a digest) for every prefix shingle."""
+    """token, doc_id, size, place (in the order) and k for every prefix shingle."""
     schema = StructType([StructField("token", LongType()), docs.schema["doc_id"], StructField("size", IntegerType()),
-                         StructField("place", IntegerType()), StructField("k", IntegerType()), StructField("set", LongType())])
+                         StructField("place", IntegerType()), StructField("k", IntegerType())])
     mean = counts.mean()
     floor = float(mean + 3 * np.sqrt(mean) + 1)
     shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int32))
@@ -134,7 +134,7 @@ def postings(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):
-                tokens, rows, sizes, places, ks, sets = [], [], [], [], [], []
+                tokens, rows, sizes, places, ks = [], [], [], [], []
                 for i, values in enumerate(shingle_sets(block, n)):
                     if len(values):
                         head, k = prefix(values, shared.value, floor, percent)
@@ -143,11 +143,10 @@ def postings(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataF
                         sizes.append(np.full(len(head), len(values), np.int32))
                         places.append(np.arange(len(head), dtype=np.int32))
                         ks.append(np.full(len(head), k, np.int32))
-                        sets.append(np.full(len(head), mix(values).sum(dtype=np.uint64), np.uint64).view(np.int64))
                 if tokens:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate(tokens).view(np.int64)), batch.column(0).take(pa.array(np.concatenate(rows))),
-                         *(pa.array(np.concatenate(x)) for x in (sizes, places, ks, sets))], names=schema.names)
+                         *(pa.array(np.concatenate(x)) for x in (sizes, places, ks))], names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -157,10 +156,14 @@ def _share(size: Column, percent: int) -> Column:
     return F.floor((percent * size + 99) / 100).cast("int")
 
 
+def _least(both: Column, percent: int) -> Column:
+    """Least intersection of two similar enough sets of so many shingles together."""
+    return F.floor((percent * both + 99 + percent) / (100 + percent)).cast("int")
+
+
 def _need(x: str, y: str, percent: int) -> Column:
     """Least intersection of two similar enough sets, by the prefixes of their columns."""
-    both = F.col(f"{x}size") + F.col(f"{y}size")
-    return F.floor((percent * both + 99 + percent) / (100 + percent)).cast("int")
+    return _least(F.col(f"{x}size") + F.col(f"{y}size"), percent)
 
 
 def _possible(x: str, y: str, percent: int) -> Column:
@@ -174,6 +177,20 @@ def _possible(x: str, y: str, percent: int) -> Column:
             & (F.greatest(f"{x}free", f"{y}free") >= need))
 
 
+def with_partners(live: DataFrame, percent: int) -> DataFrame:
+    """The rows of live(token, size, place, free, k, ..) that some row of their list may be similar to at that entry, by
+    what _possible asks of the two. A list of two is judged as that pair; a row of a longer one by the
+    smallest size that a partner in its list can have and the largest free of the list, so that no possible pair is lost."""
+    lists = live.groupBy("token").agg(
+        F.count("*").alias("_n"), F.sum("size").alias("_sum"), F.min("size").alias("_lo"), F.max("size").alias("_hi"),
+        F.max("free").alias("_free"), F.max(F.col("place") - F.col("size")).alias("_late"), F.min("k").alias("_k"))
+    need = _least(F.col("_sum"), percent)
+    pair = (100 * F.col("_lo") >= percent * F.col("_hi")) & (F.col("_late") < F.col("_k") - need) & (F.col("_free") >= need)
+    low = _least(F.col("size") + F.greatest("_lo", _share(F.col("size"), percent)), percent)
+    row = (F.col("place") < F.col("size") - low + F.col("k")) & (F.col("_free") >= low)
+    return live.join(lists, "token").where(F.when(F.col("_n") == 2, pair).otherwise((F.col("_n") > 2) & row)).select(*live.columns)
+
+
 def _fits_heads(percent: int) -> Column:
     """Whether a pair of rows of one list is worth a pair: m, the smaller k, of its shared entries lie early enough
     in both sets, and only the first list that the pair shares makes it. head (places: at) holds the first HEAD
@@ -232,7 +249,7 @@ def similar_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     # has share - k. The largest suffix counts where texts share an id.
     free = live.groupBy("doc_id").agg(
         (F.count("*") + F.max(_share(F.col("size"), percent) - F.col("k"))).cast("int").alias("free"))
-    live = live.join(free, "doc_id")
+    live = materialize(with_partners(live.join(free, "doc_id"), percent))
     rank = (F.col("place").cast("long") * (1 << 31)) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
     heads = live.groupBy("token").agg(*[F.min_by(x, rank).alias(f"l_{x}") for x in ("doc_id", "size", "place", "free", "k")])
     live = materialize(live.join(heads, "token"))
@@ -247,7 +264,7 @@ def similar_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     fields = ["doc_id", "size", "place", "free", "k", "class", "entries", "head", "at"]
     known = components(links)
     placed = (live.join(known, F.col("doc_id") == F.col("node"), "left")
-              .select("token", "doc_id", "set", "size", "place", "free", "k", F.coalesce("component", "doc_id").alias("class"),
+              .select("token", "doc_id", "size", "place", "free", "k", F.coalesce("component", "doc_id").alias("class"),
                       (F.col("doc_id") == F.col("l_doc_id")).alias("leads")))
     placed = materialize(placed)
     mixed = (placed.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi"),
@@ -255,10 +272,12 @@ def similar_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
              .where(F.col("lo") != F.col("hi")).select("token", "main"))
     placed = materialize(placed.join(mixed, "token").drop("leads"))
     # Sets of different classes share entries of mixed lists alone, so only these count from here on.
+    # Texts of one id, size and k share a head, which then holds the entries of each of them.
     order = F.array_sort(F.collect_list(F.struct("place", "token")))
-    heads = placed.groupBy("doc_id", "set").agg(order.alias("h")).select(
-        "doc_id", "set", F.size("h").alias("entries"), F.slice("h.token", 1, HEAD).alias("head"), F.slice("h.place", 1, HEAD).alias("at"))
-    placed = materialize(placed.join(heads, ["doc_id", "set"]).drop("set"))
+    own = ["doc_id", "size", "k"]
+    heads = placed.groupBy(*own).agg(order.alias("h")).select(
+        *own, F.size("h").alias("entries"), F.slice("h.token", 1, HEAD).alias("head"), F.slice("h.place", 1, HEAD).alias("at"))
+    placed = materialize(placed.join(heads, own))
     x = placed.where(F.col("class") != F.col("main")).select("token", *[F.col(c).alias(f"x_{c}") for c in fields])
     y = placed.select("token", "main", *[F.col(c).alias(f"y_{c}") for c in fields])
     once = (F.col("y_class") == F.col("main")) | (F.col("x_doc_id") < F.col("y_doc_id"))

@@ -490,3 +490,23 @@ def test_quality_does_not_depend_on_the_layout(spark):
         model = quality_classifier.train(table, labels, F.col("doc_id") % 5 != 0)
         scores.append({r["doc_id"]: r["score"] for r in quality_classifier.score_quality(docs, model).collect()})
     assert max(abs(scores[0][d] - scores[1][d]) for d in scores[0]) < 1e-9
+
+
+def test_jaccard_lists_keep_only_rows_with_a_possible_partner(spark):
+    """No row of a possible pair is lost, a list of two is judged exactly, and most chance meetings go."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for token in range(300):
+        for _ in range(int(rng.integers(1, 6))):
+            size = int(rng.integers(20, 60))
+            rows.append((token, len(rows), size, int(rng.integers(0, size // 10 + 2)), int(rng.integers(size * 8 // 10, size + 1)),
+                         int(rng.integers(1, 4))))
+    live = spark.createDataFrame(rows, "token long, doc_id long, size int, place int, free int, k int")
+    a, b = (live.select("token", *[F.col(c).alias(f"{s}{c}") for c in live.columns[1:]]) for s in ("x_", "y_"))
+    pairs = a.join(b, "token").where((F.col("x_doc_id") != F.col("y_doc_id")) & jaccard_join._possible("x_", "y_", 90))
+    needed = {r["x_doc_id"] for r in pairs.select("x_doc_id").distinct().collect()}
+    kept = {r["doc_id"] for r in jaccard_join.with_partners(live, 90).collect()}
+    two = {t for t, n in Counter(r[0] for r in rows).items() if n == 2}
+    assert needed <= kept
+    assert {r[1] for r in rows if r[0] in two} & kept == {r[1] for r in rows if r[0] in two} & needed
+    assert 0 < len(needed) and len(kept) < 2 * len(rows) // 3

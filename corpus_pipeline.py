@@ -10,14 +10,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quillspark.llm import decontamination, jaccard_join, language_id, packing, pii
 from quillspark.llm.common import remainder, table, without
 from quillspark.llm.queries import tokenizer_path
-from quillspark.session import ensure_checkpoint_dir, materialize
+from quillspark.session import arrow_batches, ensure_checkpoint_dir, materialize
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of no determined language: without a text, or without a letter."""
     model = language_id.train(docs, remainder(F.col("doc_id"), 5) != 0)
     rejected = language_id.identify(docs, model).where(F.col("lang_pred") == language_id.UNDETERMINED)
-    return without(docs, materialize(rejected.select("doc_id")))
+    with arrow_batches(spark):
+        rejected = materialize(rejected.select("doc_id"))
+    return without(docs, rejected)
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

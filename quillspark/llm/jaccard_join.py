@@ -20,7 +20,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 from quillspark.llm.common import map_blocks, small, without
 from quillspark.llm.components import components
 from quillspark.llm.rolling import LOWER, SPACE, Block, blocks, grams, mix
-from quillspark.session import materialize
+from quillspark.session import arrow_batches, materialize
 
 SHINGLE, PERCENT = 3, 90
 #: Size of the frequency sketch in bits, counters of a row of it, and the largest k.
@@ -218,7 +218,8 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
             return [[s.view(np.int64) for s in shingle_sets(block, n)]]
         return score
 
-    sets = materialize(map_blocks(wanted, ["doc_id"], [StructField("s", ArrayType(LongType()))], make))
+    with arrow_batches(docs.sparkSession):
+        sets = materialize(map_blocks(wanted, ["doc_id"], [StructField("s", ArrayType(LongType()))], make))
     left = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -234,7 +235,8 @@ def similar_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     shingles and are their own class. Rows that share an id are one document: linked with whatever
     any of its texts links with. A row without an id takes the class of equal sets if there is one,
     else null. Other columns are ignored."""
-    surveyed = materialize(survey(docs, n))
+    with arrow_batches(docs.sparkSession):
+        surveyed = materialize(survey(docs, n))
     rows = surveyed.where(F.col("part").isNull())
     classes = materialize(rows.where(F.col("n") > 0).groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")))
     named = docs.where(F.col("doc_id").isNotNull())
@@ -242,7 +244,9 @@ def similar_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
         classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
     alone = without(named, copies)
 
-    lists = materialize(postings(alone, frequencies(surveyed), n, percent))
+    counts = frequencies(surveyed)
+    with arrow_batches(docs.sparkSession):
+        lists = materialize(postings(alone, counts, n, percent))
     common = lists.groupBy("token").count().where(F.col("count") > 1).select("token")
     live = materialize(lists.join(common, "token"))
     # A set whose prefix ends before its partner's shares at most its live shingles and its suffix, which

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from quillspark.llm.tokens import ByteLevel
-from quillspark.session import materialize
+from quillspark.session import arrow_batches, materialize
 
 CAPACITY, END = 2048, 0
 #: Pieces of a group: what one task packs at a time.
@@ -151,7 +151,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds
     sequence_id, offset, fill or certified are replaced. The pieces are
     numbered and written once to the checkpoint folder, so that a row keeps its number."""
     pieces = pieces.drop("sequence_id", "offset", "fill", "certified")
-    pieces = materialize(pieces.withColumn("_number", F.monotonically_increasing_id()))
+    with arrow_batches(pieces.sparkSession):
+        pieces = materialize(pieces.withColumn("_number", F.monotonically_increasing_id()))
     full = pieces.where(F.col("length") == capacity)
     done = full.select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.where(F.col("length") < capacity)

@@ -3,6 +3,8 @@ queries(qid, text, team, product, region, process, role, as_of)."""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import candidate_terms
@@ -59,8 +61,19 @@ def _dealt(queries: DataFrame) -> DataFrame:
     return queries.repartition("qid")
 
 
+def _with_terms(queries: DataFrame, *columns: str) -> DataFrame:
+    """The columns and _terms, dealt by id once more: Spark no longer knows how rows lie that went through Python, and
+    would exchange all matches of the terms and whatever is joined to them."""
+    return _dealt(_dealt(queries).select(*columns, candidate_terms("text").alias("_terms")))
+
+
+def _each_term(asked: DataFrame) -> DataFrame:
+    # Outer, as a condition on the array would be pushed below the exchange and take the terms a second time.
+    return asked.select("qid", *SCOPE, "as_of", F.explode_outer("_terms").alias("term")).where(F.col("term").isNotNull())
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
-    return _dealt(queries).select("qid", *SCOPE, "as_of", F.explode(candidate_terms("text")).alias("term"))
+    return _each_term(_with_terms(queries, "qid", *SCOPE, "as_of"))
 
 
 def resolve_aliases(terms: DataFrame, aliases: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -122,19 +135,50 @@ def ambiguities(resolved: DataFrame, policy: str = "show_both") -> DataFrame:
             .where(F.size("candidates") > 1).withColumn("reason", F.lit(AMBIGUOUS[policy])))
 
 
-def graph_hints(resolved: DataFrame, relationships: DataFrame, concepts: DataFrame) -> DataFrame:
-    """Approved outgoing relations of the resolved concepts as 'FROM type TO'."""
+class HintLists(NamedTuple):
+    """The hints of queries without their texts. numbers: qid and, in the order of the relations, the places of its hints
+    in texts, an array of all hints of a graph of at most MAX_BROADCAST_ROWS relations."""
+
+    numbers: DataFrame
+    texts: Column
+
+
+def graph_hints(resolved: DataFrame, relationships: DataFrame, concepts: DataFrame, listed: bool = False) -> DataFrame | HintLists:
+    """Approved outgoing relations of the resolved concepts as 'FROM type TO'. listed: as HintLists, if the graph is small
+    enough, for who puts them into a query's text. There a hint is a number until the text is made, which is neither
+    sorted nor exchanged."""
     sources = resolved.select("qid", "concept_id", "as_of", *SCOPE).dropDuplicates(["qid", "concept_id"]).alias("s")
     f = concepts.select(F.col("id").alias("from_id"), F.col("key").alias("_from"))
     t = concepts.select(F.col("id").alias("to_id"), F.col("key").alias("_to"))
     edges = relationships.where(F.col("status") == "approved").join(f.hint("merge"), "from_id", "left").join(t.hint("merge"), "to_id", "left")
     hint = F.concat_ws(" ", F.coalesce("_from", F.col("from_id").cast("string")), "relation_type",
                        F.coalesce("_to", F.col("to_id").cast("string")))
-    named = _shipped(edges.select("id", "from_id", *SCOPE, "valid_from", "valid_to", hint.alias("hint"))).alias("e")
+    edges = edges.select("id", "from_id", *SCOPE, "valid_from", "valid_to", hint.alias("hint"))
+    if listed:
+        edges = materialize(edges)
+        if edges.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+            return _hint_lists(sources, edges)
+    named = _shipped(edges).alias("e")
     return (sources.join(named, (F.col("s.concept_id") == F.col("e.from_id")) & _applies("e", "s"))
             .select("s.qid", F.col("e.id").alias("relation_id"), "e.hint"))
 
 
+def _hint_lists(sources: DataFrame, edges: DataFrame) -> HintLists:
+    edges = materialize(edges.withColumn("_n", F.row_number().over(W.orderBy("id", "hint")) - 1))  # at most MAX_BROADCAST_ROWS
+    texts = edges.agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "hint"))), lambda e: e["hint"])).scalar()
+    entry = F.struct("_n", *[F.nullif(F.col(c), F.lit("")).alias(c) for c in SCOPE], "valid_from", "valid_to")
+    out = edges.groupBy("from_id").agg(F.collect_list(entry).alias("_edges"))
+
+    def applies(e: Column) -> Column:
+        ok = valid_at(e["valid_from"], e["valid_to"], F.col("s.as_of"))
+        for name in SCOPE:
+            ok = ok & F.coalesce(e[name] == F.nullif(F.col(f"s.{name}"), F.lit("")), F.lit(True))
+        return ok
+    met = sources.join(F.broadcast(out), F.col("s.concept_id") == F.col("from_id")).select(
+        "s.qid", F.transform(F.filter("_edges", applies), lambda e: e["_n"]).alias("_numbers")).where(F.size("_numbers") > 0)
+    return HintLists(met.groupBy("qid").agg(F.array_sort(F.flatten(F.collect_list("_numbers"))).alias("_numbers")), texts)
+
+
 def _ordered(entry: Column, *keys: str) -> Column:
     rows = F.array_sort(F.collect_list(F.struct(*keys, entry.alias("_entry"))))
     return F.transform(rows, lambda r: r["_entry"])
@@ -154,16 +198,24 @@ def _expanded(meaning: Column, graph: Column) -> Column:
         F.coalesce(F.concat(F.lit("\n\n[GRAPH_RELATIONSHIPS]\n"), graph), F.lit("")))
 
 
-def rewrite_queries(queries: DataFrame, resolved: DataFrame, hints: DataFrame) -> DataFrame:
+def _with_graph(base: DataFrame, hints: DataFrame | HintLists) -> DataFrame:
+    """Adds _graph, the text of each query's hints, NULL without one."""
+    if not isinstance(hints, HintLists):
+        lines = _ordered(F.concat(F.lit("- "), F.col("hint")), "relation_id")
+        return base.join(hints.groupBy("qid").agg(F.array_join(lines, "\n").alias("_graph")).hint("merge"), "qid", "left")
+    told = base.join(hints.numbers.hint("merge"), "qid", "left").withColumn("_texts", hints.texts)
+    block = F.array_join(F.transform("_numbers", lambda n: F.concat(F.lit("- "), F.get("_texts", n))), "\n")
+    return told.withColumn("_graph", block).drop("_numbers", "_texts")
+
+
+def rewrite_queries(queries: DataFrame, resolved: DataFrame, hints: DataFrame | HintLists) -> DataFrame:
     """qid, query_text, expanded_query. A query without a resolved term stays as it is."""
     line = F.concat(F.lit("- "), F.col("concept_key"), F.lit(": "),
                     F.coalesce(F.nullif("definition", F.lit("")), F.lit("(definition missing)")))
     meaning = resolved.groupBy("qid").agg(
         F.array_join(_ordered(line, "alias_normalized", "concept_key", "concept_id"), "\n").alias("_meaning"))
-    graph = hints.groupBy("qid").agg(
-        F.array_join(_ordered(F.concat(F.lit("- "), F.col("hint")), "relation_id"), "\n").alias("_graph"))
     text = _expanded(F.col("_meaning"), F.col("_graph"))
-    return (queries.join(meaning.hint("merge"), "qid", "left").join(graph.hint("merge"), "qid", "left").withColumn("_scope", _scope_json())
+    return (_with_graph(queries.join(meaning.hint("merge"), "qid", "left"), hints).withColumn("_scope", _scope_json())
             .select("qid", F.col("text").alias("query_text"),
                     F.when(F.col("_meaning").isNull(), F.col("text")).otherwise(text).alias("expanded_query")))
 

@@ -252,7 +252,7 @@ def _(t):
 @register("g09_rewrite_queries", f"WITH {SQL_GRAPH} SELECT qid, text AS query_text, expanded_query FROM expanded JOIN queries USING (qid)")
 def _(t):
     found, graph = resolved(t)
-    return G.rewrite_queries(part_queries(t), found, G.graph_hints(found, graph["relationships"], graph["concepts"]))
+    return G.rewrite_queries(part_queries(t), found, G.graph_hints(found, graph["relationships"], graph["concepts"], listed=True))
 
 
 @register("g10_strict_gate", f"WITH {SQL_GRAPH} SELECT qid, failure FROM gate")

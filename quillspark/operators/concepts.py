@@ -256,17 +256,15 @@ def interpret(queries: DataFrame, graph: dict[str, DataFrame], policy: str = "sh
               graph_enabled: bool = True) -> DataFrame:
     """The whole interpretation: expanded query, payload, ambiguities, unknown terms, gate. One
     aggregate per query feeds everything but the graph hints."""
-    asked = _dealt(queries).select("*", candidate_terms("text").alias("_terms"))
-    terms = asked.select("qid", *SCOPE, "as_of", F.explode("_terms").alias("term"))
+    asked = _with_terms(queries, *queries.columns)
+    terms = _each_term(asked)
     resolved = resolved_concepts(resolve_aliases(terms, graph["aliases"], graph["concepts"]), graph["definitions"])
     row = F.struct("alias_normalized", "concept_key", "concept_id", "alias", "definition_id", "definition",
                    "confidence", "criticality")
     found = resolved.groupBy("qid").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
     base = asked.join(found.hint("merge"), "qid", "left")
     if graph_enabled:
-        hints = graph_hints(resolved, graph["relationships"], graph["concepts"]).groupBy("qid").agg(
-            F.array_join(_ordered(F.concat(F.lit("- "), F.col("hint")), "relation_id"), "\n").alias("_graph"))
-        base = base.join(hints.hint("merge"), "qid", "left")
+        base = _with_graph(base, graph_hints(resolved, graph["relationships"], graph["concepts"], listed=True))
     kind = found.schema["_rows"].dataType.simpleString()
     base = base.withColumn("_rows", F.coalesce("_rows", F.array().cast(kind)))
     base = base.withColumn("detected_terms", F.array_distinct(F.transform("_rows", lambda r: r["alias_normalized"])))

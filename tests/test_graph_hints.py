@@ -45,11 +45,12 @@ def test_numbers_give_the_same_texts(spark, monkeypatch):
         return sorted(map(repr, df.collect()))
     want = rows(rewritten(spark, False))
     assert rows(rewritten(spark, True)) == want and sum("GRAPH_RELATIONSHIPS" in r for r in want) > 3
+    whole = rows(G.interpret(queries(spark), graph(spark)))
     monkeypatch.setattr(G, "MAX_BROADCAST_ROWS", 3)
-    assert rows(rewritten(spark, True)) == want
+    assert rows(rewritten(spark, True)) == want and rows(G.interpret(queries(spark), graph(spark))) == whole
 
 
-@pytest.mark.parametrize("build", [lambda s: rewritten(s, True)])
+@pytest.mark.parametrize("build", [lambda s: rewritten(s, True), lambda s: G.interpret(queries(s), graph(s))])
 def test_neither_texts_nor_matches_move(spark, build):
     plan = build(spark)._jdf.queryExecution().executedPlan().toString()
     moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(qid" in line]
